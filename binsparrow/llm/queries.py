@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import decontam, packing, sharding, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -26,4 +26,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), bpe(), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_files)}
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op9_spaced_seeds"] = decontam.oracle_sql()
+
+
+def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
