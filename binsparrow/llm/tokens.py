@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 _BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
+_ANY_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
+_ODD_SPACE = rf"{_ANY_SPACE} | {_ANY_SPACE}|\A | \z"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LINE = re.compile(r"(\S+)\n(\S+)")
 _TAIL = frozenset(".,;:!?")
@@ -21,6 +27,8 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
 KNOWN_CHUNKS = 1_000_000
+#: Words whose ids are strung together at once.
+SLICE_WORDS = 500_000
 
 
 class Encoder:
@@ -38,6 +46,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.dtype = dtype
         self.form = "<%d" + {"<u2": "H", "<u4": "I"}[dtype]
         self.bare, self.spaced = _Chunks(self, ""), _Chunks(self, " ")
 
@@ -59,6 +68,38 @@ class Encoder:
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+    def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode() of every text of a batch, null as empty; distinct chunks are found and strung together by column."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        if isinstance(plain, pa.ChunkedArray):
+            plain = plain.combine_chunks()
+        begin = plain.offsets.to_numpy().astype(np.int64)
+        words = plain.values.dictionary_encode()
+        index, kinds = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        for known in (self.bare, self.spaced):
+            if len(known) > KNOWN_CHUNKS:
+                known.clear()
+        firsts = [kinds[i] for i in index[begin[:-1]]]
+        index[begin[:-1]] = len(kinds) + np.arange(len(firsts))
+        runs = [*map(self.spaced.__getitem__, kinds), *map(self.bare.__getitem__, firsts)]
+        width = int(self.dtype[-1])
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // width
+        table, place = np.frombuffer(b"".join(runs), self.dtype), np.cumsum(size) - size
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(begin, begin[at] + SLICE_WORDS, "right")) - 1)
+            part = index[begin[at] : begin[end]]
+            n = size[part]
+            stop = np.cumsum(n)
+            ids = table[np.repeat(place[part] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+            cut = np.concatenate([[0], stop])[begin[at : end + 1] - begin[at]]
+            for k in range(at, end):
+                yield self.encode(texts[k].as_py()) if odd[k] else ids[cut[k - at] : cut[k - at + 1]].tobytes()
+            at = end
+
+
 class _Chunks(dict):
     """chunk -> bytes of the ids of the chunk behind a prefix."""
 
@@ -68,10 +109,12 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1:] in _TAIL and chunk[-2:-1].isalpha():  # a letter and a mark never share a pre-token
-            return self[chunk[:-1]] + self.encoder.bare[chunk[-1]]
-        if "\n" in chunk and (cut := _LINE.fullmatch(chunk)):  # nor does a lone line end with what is beside it
+            out = self[chunk[:-1]] + self.encoder.bare[chunk[-1]]
+        elif "\n" in chunk and (cut := _LINE.fullmatch(chunk)):  # nor does a lone line end with what is beside it
             return self[cut[1]] + self.encoder.bare["\n"] + self.encoder.bare[cut[2]]
-        self[chunk] = out = self.encoder.chunk(self.prefix + chunk)
+        else:
+            out = self.encoder.chunk(self.prefix + chunk)
+        self[chunk] = out
         return out
 
 
