@@ -35,12 +35,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, "<u4")
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = memoryview(e.encode(text) + end)
+            for doc, run in zip(b.column("doc_id").to_pylist(), e.encode_batch(b.column("text")), strict=True):
+                ids = memoryview(run + end)
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out += [(doc, k, s, t - s, zlib.crc32(ids[4 * s : 4 * t])) for k, (s, t) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -48,7 +48,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], list(names))
 
-    return run
+    return cut
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

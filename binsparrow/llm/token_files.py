@@ -14,6 +14,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,11 @@ def _encode(tokenizer: str, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, dtype)
         for b in batches:
+            ids = e.encode_batch(b.column("text"))
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [e.encode(t) + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("pid"), pa.array(ids, pa.binary())], ["doc_id", "pid", "ids"])
+                here = pa.array([i + end for i in islice(ids, part.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("pid"), here], ["doc_id", "pid", "ids"])
 
     return run
 

@@ -68,6 +68,18 @@ class Encoder:
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode the letter words among new chunks many at a time: each is one pre-token."""
+        new = (c for c in chunks if c not in self.spaced)
+        stems = list({s for c in new if (s := c[:-1] if c[-1:] in _TAIL else c).isalpha() and s not in self.spaced})
+        width = int(self.dtype[-1])
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            data, cuts = np.array(e.ids, self.dtype).tobytes(), np.searchsorted(e.word_ids, np.arange(len(part) + 1)).tolist()
+            for stem, i, k in zip(part, cuts, cuts[1:], strict=False):
+                self.spaced[stem] = data[width * i : width * k]
+
     def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
         """encode() of every text of a batch, null as empty; distinct chunks are found and strung together by column."""
         texts = texts.cast(pa.string()).fill_null("")
@@ -81,6 +93,7 @@ class Encoder:
         for known in (self.bare, self.spaced):
             if len(known) > KNOWN_CHUNKS:
                 known.clear()
+        self._learn(kinds)
         firsts = [kinds[i] for i in index[begin[:-1]]]
         index[begin[:-1]] = len(kinds) + np.arange(len(firsts))
         runs = [*map(self.spaced.__getitem__, kinds), *map(self.bare.__getitem__, firsts)]
