@@ -90,3 +90,65 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+
+
+# ---- whole batches of texts as word hashes -----------------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Text bytes hashed at once; a longer text goes whole.
+SLICE_BYTES = 2 << 20
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        for i, base in enumerate((_ODD, _UNDO)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS
+
+
+class Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of texts lo..hi of a batch: hashes, byte places, and where each text's words begin."""
+
+    def __init__(self, lo: int, hi: int, data: np.ndarray, cuts: np.ndarray, lower: bool):
+        self.lo, self.hi, self.data = lo, hi, data
+        solid = ~_SPACE[data]
+        inner = cuts[:-1][cuts[:-1] < len(data)]
+        before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
+        before[inner] = False
+        after = np.concatenate([solid[1:], [False]]) if len(data) else solid
+        after[inner[inner > 0] - 1] = False
+        self.starts, self.ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        up, down = _powers(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], dtype=np.uint64)])
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.first = np.searchsorted(self.starts, cuts)  # of each text; one more at the end
+
+    def of(self, k: int) -> slice:
+        return slice(self.first[k - self.lo], self.first[k - self.lo + 1])
+
+
+def hashed_words(texts, lower: bool = False):
+    """Words of an Arrow column of texts (null: none), in slices of about SLICE_BYTES.
+
+    A word's hash is a 64-bit polynomial of random byte codes, found for all words at once from one running sum.
+    """
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        yield Words(at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], lower)
+        at = end

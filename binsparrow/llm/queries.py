@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, sharding, token_files
+from . import decontam, neardup, packing, sharding, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -22,6 +22,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe(), capacity=2048, end_id=0)
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), bpe(), end_id=2)
 
@@ -37,4 +41,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
