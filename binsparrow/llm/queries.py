@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, sharding, token_files
+from . import decontam, neardup, packing, sharding, substring, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -18,6 +18,10 @@ def bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe(), capacity=2048, end_id=0)
 
@@ -41,4 +45,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op4_block_anchors, op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
