@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CURVES, DIMS, BITS = 16, 6, 7
+CURVES, DIMS, BITS = 10, 6, 7
 BLOCKS, REACH = 16, 1
 #: Sides of one comparison: rows and queries.
 TILE_ROWS, TILE_QUERIES = 8192, 4096
@@ -163,7 +163,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, seed: int = 11) -> D
     right = placed(keyed).withColumn("r", part(row_parts)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).withColumn("side", F.lit(1))
     near = placed(queries).withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - REACH), F.least(F.lit(blocks - 1), F.col("block") + REACH))))
     left = near.withColumn("q", part(query_parts)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_parts - 1)))).withColumn("side", F.lit(0))
-    tile = lambda df: df.select(F.xxhash64("curve", "block", "r", "q").alias("tile"), "side", "rep", "vec")
+    tile = lambda df: df.select(F.xxhash64(*[F.col(c).cast("long") for c in ("curve", "block", "r", "q")]).alias("tile"), "side", "rep", "vec")
     met = tile(left).unionByName(tile(right)).repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(k + 1), "query long, rep long, score double")
     best = met.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)

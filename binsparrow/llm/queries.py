@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, sharding, substring, token_files
+from . import curves, decontam, langid, neardup, packing, sharding, substring, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +26,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_hilbert_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -53,4 +57,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op4_block_anchors, op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
