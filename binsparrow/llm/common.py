@@ -120,7 +120,7 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts lo..hi of a batch: hashes, byte places, and where each text's words begin."""
 
     def __init__(self, lo: int, hi: int, data: np.ndarray, cuts: np.ndarray, lower: bool):
-        self.lo, self.hi, self.data = lo, hi, data
+        self.lo, self.hi, self.data, self.cuts = lo, hi, data, cuts
         solid = ~_SPACE[data]
         inner = cuts[:-1][cuts[:-1] < len(data)]
         before = np.concatenate([[False], solid[:-1]]) if len(data) else solid

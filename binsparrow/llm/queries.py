@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, decontam, langid, neardup, packing, sharding, substring, token_files
+from . import curves, decontam, importance, langid, neardup, packing, sharding, substring, token_files, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +26,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return importance.importance_resample(table(spark, sf_dir, "documents"), target, share=0.5)
+
+
 def op3_hilbert_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -38,6 +43,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe(), capacity=2048, end_id=0)
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op6_revisits"] = warc.oracle_sql()
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -57,4 +69,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_importance, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op6_revisits, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}

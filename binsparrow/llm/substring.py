@@ -203,13 +203,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(close(), _HITS)
 
 
-def _cut(window: int):
+def _cut(window: int, texts: bool):
+    """What stays of each row: figures and spans, or the text itself beside the row's other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column("places").to_pylist()
-            tags = b.column("tag").to_pylist()
             for w in hashed_words(b.column("text")):
-                out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "spans", "kept")}
+                counts, removed, spans, left = [], [], [], []
+                raw = w.data.tobytes()
                 for i in range(w.lo, w.hi):
                     s = w.of(i)
                     n = s.stop - s.start
@@ -220,30 +222,28 @@ def _cut(window: int):
                         np.add.at(marks, p, 1)
                         np.add.at(marks, p + window, -1)
                     gone = np.cumsum(marks[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    data = w.data
-                    starts, ends = w.starts[s].tolist(), w.ends[s].tolist()
-                    raw = data[starts[0] : ends[-1]].tobytes() if n else b""
-                    words = raw.split()
-                    out["n_words"].append(n)
-                    out["n_removed"].append(int(gone.sum()))
-                    out["spans"].append([{"start": int(x), "stop": int(y)} for x, y in edges.reshape(-1, 2)])
-                    out["kept"].append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if len(edges) else words))
-                yield pa.RecordBatch.from_pydict({
-                    "tag": pa.array(tags[w.lo : w.hi], pa.int64()),
-                    "n_words": pa.array(out["n_words"], pa.int64()),
-                    "n_removed": pa.array(out["n_removed"], pa.int64()),
-                    "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()),
-                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out["kept"]]),
-                })
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+                    counts.append(n)
+                    removed.append(int(gone.sum()))
+                    spans.append([{"start": int(x), "stop": int(y)} for x, y in edges])
+                    lo, hi = int(w.cuts[i - w.lo]), int(w.cuts[i - w.lo + 1])
+                    if texts:  # all but the bytes from a removed run's first word to the next word that stays
+                        starts = np.append(w.starts[s], hi)
+                        stay = [lo, *starts[edges].ravel().tolist(), hi]
+                        left.append(b"".join(raw[x:y] for x, y in zip(stay[::2], stay[1::2], strict=True)) if len(edges) else raw[lo:hi])
+                    else:
+                        words = raw[lo:hi].split()
+                        kept = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if len(edges) else words)
+                        left.append(hashlib.sha256(kept).hexdigest())
+                part = b.slice(w.lo, w.hi - w.lo)
+                spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+                last = pa.array(left, pa.binary()).cast(pa.string()) if texts else pa.array(left, pa.string())
+                columns = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), spans, last]
+                yield pa.RecordBatch.from_arrays([part.column("rest"), *columns], ["rest", "n_words", "n_removed", "spans", "left"])
 
     return run
 
 
-CUT = "tag long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string, kept_sha256 string"
-
-
 def _found(docs: DataFrame, window: int) -> DataFrame:
     """(id, text, places): every row's runs of `window` words that a smaller document has too."""
     buckets = max(1, text_bytes(docs) // 6 // BUCKET_WINDOWS)
@@ -256,15 +256,32 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
     return runs.mapInArrow(_repeats, "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("places"))
 
 
+def _judged(docs: DataFrame, window: int, texts: bool) -> DataFrame:
+    if window < 2 * BLOCK:
+        raise ValueError(f"a window of {window} words need not hold a block of {BLOCK}")
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if texts else []
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"), *rest)
+    met = base.join(_found(docs, window), "id", "left")
+    if not texts:
+        met = met.withColumn("rest", F.struct(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")))
+    met = met.select("text", "places", "rest")
+    return met.mapInArrow(_cut(window, texts), f"rest {met.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, left string")
+
+
 def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (word ranges removed), kept (text), kept_sha256 of every row.
+    """doc_id, n_words, n_removed, spans (word ranges removed), kept_sha256 (of the words that stay, one space between) of every row.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word goes if some window of `window` words over it also starts in a document with a smaller
     doc_id; windows are judged on the input. Null texts have no words. A null doc_id is larger than all others; rows that
     repeat a doc_id are no smaller than each other. Other columns are ignored; an empty table gives no rows.
     """
-    if window < 2 * BLOCK:
-        raise ValueError(f"a window of {window} words need not hold a block of {BLOCK}")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    out = base.join(_found(docs, window), "id", "left").select(F.col("id").alias("tag"), "text", "places").mapInArrow(_cut(window), CUT)
-    return out.select(F.when(F.col("tag") != NO_ID, F.col("tag")).alias("doc_id"), "n_words", "n_removed", "spans", "kept", "kept_sha256")
+    return _judged(docs, window, texts=False).select("rest.doc_id", "n_words", "n_removed", "spans", F.col("left").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The documents with their repeated passages cut out of `text` (white space elsewhere stays), other columns as they came.
+
+    Documents of which nothing is left go; wordless texts stay, null ones as empty.
+    """
+    out = _judged(docs, window, texts=True).where("n_words = 0 OR n_removed < n_words")
+    return out.select(*[(F.col("left") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns])
