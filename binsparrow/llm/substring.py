@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, rolling, text_bytes
+from .common import hashed_words, mix, rolling, text_bytes
 
 BLOCK = 25
 #: Windows that a bucket should hold.
@@ -59,7 +59,7 @@ def _entries(row: dict, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     total = np.cumsum(step)
     first = np.cumsum(n) - n
     places = total - np.repeat(total[first] - step[first], n)
-    return _unpack(row["hashes"], dtype), np.repeat(d, n), places
+    return _unpack(row["hashes"], dtype) if dtype else places, np.repeat(d, n), places
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -100,48 +100,91 @@ def _windows(window: int, buckets: int):
 _HITS = pa.schema([("id", pa.int64()), ("places", pa.binary())])
 
 
-def _by_doc(docs: np.ndarray, places: np.ndarray) -> Iterator[dict]:
-    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]])) if len(docs) else []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        yield {"id": int(docs[lo]), "places": places[lo:hi].astype("<u4").tobytes()}
+def _reply(docs: np.ndarray, places: np.ndarray, buckets: int) -> list[dict]:
+    """Places of documents, packed for their way back in as many groups of documents as there are buckets."""
+    if not len(docs):
+        return []
+    group = mix(docs.astype(np.int64).view(np.uint64)) << np.uint64(32)  # the packing deals by the high half
+    rows = [*_packed_rows(group, docs, places, buckets, 0, "<u4")]
+    for r in rows:
+        r["hashes"] = b""
+    return rows
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, side): windows that a smaller document's block equals, and blocks that a larger one's window equals."""
-    bucket, blocks, index, hit = None, [], None, None
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: one row for each document."""
+    group, held = None, []
 
-    def close() -> list[dict]:
-        if index is None or not hit.any():
-            return []
-        keys, _, rows = index
-        h, d, p = rows
-        used = hit[np.searchsorted(keys, h)]
-        order = np.lexsort((p[used], d[used]))
-        return [*_by_doc(d[used][order], p[used][order])]
+    def close() -> pa.RecordBatch:
+        if not held:
+            return _batch([], _HITS)
+        d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order].astype("<u4")
+        cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
+        places = [p[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(places, pa.binary())], schema=_HITS)
 
     for b in batches:
-        out: list[dict] = []
         for row in b.to_pylist():
-            if row["bucket"] != bucket:
-                out += close()
-                bucket, blocks, index = row["bucket"], [], None
-            if row["side"] == 0:
-                blocks.append(_entries(row, "<u4"))
-                continue
-            if index is None:
-                h, d, p = (np.concatenate(x) for x in zip(*blocks, strict=True))
-                order = np.lexsort((d, h))
-                h, d, p = h[order], d[order], p[order]
-                keys, first, n = np.unique(h, return_index=True, return_counts=True)
-                least = d == np.repeat(d[first], n)
-                index, hit, blocks = (keys, d[first], (h[least], d[least], p[least])), np.zeros(len(keys), bool), []
-            h, d, p = _entries(row, "<u4")
-            k = np.minimum(np.searchsorted(index[0], h), len(index[0]) - 1)
-            found = (index[0][k] == h) & (index[1][k] < d)
-            hit[k[found]] = True
-            out += _by_doc(d[found], p[found])
-        yield _batch(out, _HITS)
-    yield _batch(close(), _HITS)
+            if row["bucket"] != group:
+                yield close()
+                group, held = row["bucket"], []
+            _, d, p = _entries(row, None)
+            held.append((d, p))
+    yield close()
+
+
+def _probe(buckets: int):
+    """Rows sorted by (bucket, side): windows that a smaller document's block equals, and blocks that a larger one's window equals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blocks, index, hit, found, n_found = None, [], None, None, [], 0
+
+        def flush() -> list[dict]:
+            d, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            order = np.lexsort((p, d))
+            found.clear()
+            return _reply(d[order], p[order], buckets)
+
+        def close() -> list[dict]:
+            if index is not None:
+                keys, _, (h, d, p) = index
+                used = hit[np.searchsorted(keys, h)]
+                found.append((d[used], p[used]))
+            return flush()
+
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                if row["bucket"] != bucket:
+                    out += close()
+                    bucket, blocks, index = row["bucket"], [], None
+                if row["side"] == 0:
+                    blocks.append(_entries(row, "<u4"))
+                    continue
+                if index is None and not blocks:
+                    continue
+                if index is None:
+                    h, d, p = (np.concatenate(x) for x in zip(*blocks, strict=True))
+                    order = np.lexsort((d, h))
+                    h, d, p = h[order], d[order], p[order]
+                    keys, first, n = np.unique(h, return_index=True, return_counts=True)
+                    least = d == np.repeat(d[first], n)
+                    index, hit, blocks = (keys, d[first], (h[least], d[least], p[least])), np.zeros(len(keys), bool), []
+                h, d, p = _entries(row, "<u4")
+                k = np.minimum(np.searchsorted(index[0], h), len(index[0]) - 1)
+                same = (index[0][k] == h) & (index[1][k] < d)
+                hit[k[same]] = True
+                found.append((d[same], p[same]))
+                n_found += int(same.sum())
+                if n_found > BUCKET_WINDOWS // 4:
+                    out += flush()
+                    n_found = 0
+            yield _batch(out, _PACKED)
+        yield _batch(close(), _PACKED)
+
+    return run
 
 
 def _extend(window: int, buckets: int):
@@ -176,31 +219,35 @@ def _extend(window: int, buckets: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(buckets: int):
     """Rows sorted by bucket: runs that a smaller document has too."""
-    bucket, held = None, []
 
-    def close() -> list[dict]:
-        if not held:
-            return []
-        h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((d, h))
-        h, d, p = h[order], d[order], p[order]
-        _, first, n = np.unique(h, return_index=True, return_counts=True)
-        later = d > np.repeat(d[first], n)
-        d, p = d[later], p[later]
-        order = np.lexsort((p, d))
-        return [*_by_doc(d[order], p[order])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def close() -> list[dict]:
+            if not held:
+                return []
+            h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((d, h))
+            h, d, p = h[order], d[order], p[order]
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            later = d > np.repeat(d[first], n)
+            d, p = d[later], p[later]
+            order = np.lexsort((p, d))
+            return _reply(d[order], p[order], buckets)
 
-    for b in batches:
-        out: list[dict] = []
-        for row in b.to_pylist():
-            if row["bucket"] != bucket:
-                out += close()
-                bucket, held = row["bucket"], []
-            held.append(_entries(row, "<u8"))
-        yield _batch(out, _HITS)
-    yield _batch(close(), _HITS)
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                if row["bucket"] != bucket:
+                    out += close()
+                    bucket, held = row["bucket"], []
+                held.append(_entries(row, "<u8"))
+            yield _batch(out, _PACKED)
+        yield _batch(close(), _PACKED)
+
+    return run
 
 
 def _cut(window: int, texts: bool):
@@ -248,12 +295,11 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
     """(id, text, places): every row's runs of `window` words that a smaller document has too."""
     buckets = max(1, text_bytes(docs) // 6 // BUCKET_WINDOWS)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    sent = base.mapInArrow(_windows(window, buckets), PACKED)
-    hits = sent.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(_probe, "id long, places binary")
-    hits = hits.groupBy("id").agg(F.collect_list("places").alias("places"))
+    dealt = lambda rows, *order: rows.repartition("bucket").sortWithinPartitions("bucket", *order)
+    replies = lambda rows: dealt(rows).mapInArrow(_gather, "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("places"))
+    hits = replies(dealt(base.mapInArrow(_windows(window, buckets), PACKED), "side").mapInArrow(_probe(buckets), PACKED))
     near = base.join(hits, "id", "left").where("places IS NOT NULL").select("id", "text", "places")
-    runs = near.mapInArrow(_extend(window, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return runs.mapInArrow(_repeats, "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("places"))
+    return replies(dealt(near.mapInArrow(_extend(window, buckets), PACKED)).mapInArrow(_repeats(buckets), PACKED))
 
 
 def _judged(docs: DataFrame, window: int, texts: bool) -> DataFrame:
