@@ -5,7 +5,7 @@ representative. A tree sends each representative of a node to FANOUT children, p
 documents of similarity s miss each other at a node with probability (1 - s)^FANOUT, so the number of independent trees follows
 from the target recall. A node of more than SMALL members whose members mostly differ from its pivot (the least) branches again. Nodes
 that stay are compared in two steps: members with the pivot, and, once those links have made components, members of
-different components with each other, in blocks. Signatures only propose pairs; every link is confirmed on the full sets.
+different components with each other, in blocks, the most alike first. Signatures only propose pairs; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,11 +22,15 @@ from .common import hashed_words, materialize, mix, rolling
 from .components import components
 
 #: Minwise tokens of a signature; the first BRIEF of them, a byte each, travel with the nodes.
-T, BRIEF = 128, 64
-FANOUT = 3
+T, BRIEF = 128, 96
+FANOUT = 2
 RECALL = 0.9999
 #: Members up to which a node is compared without branching, and levels at most; what stays large is compared in blocks.
-SMALL, DEPTH = 128, 6
+SMALL, DEPTH = 1024, 6
+#: Standard deviations of the signature's estimate below the threshold at which a pair still is confirmed.
+SLACK = 3.6
+#: Partners of a member outside its node's main component in the first of two rounds.
+CLOSEST = 4
 #: Rows on the sides of a block comparison.
 BLOCK_LEFT, BLOCK_RIGHT = 256, 4096
 #: Ids that may be broadcast to filter texts (8 bytes each); more are joined by a shuffle.
@@ -113,8 +117,11 @@ def _with_pivot(floor: int):
     return run
 
 
-def _blocks(floor: int):
-    """Rows sorted by (key, side): the few left rows of a key come first, then right rows stream past them."""
+def _blocks(floor: int, closest: int | None):
+    """Rows sorted by (key, side): the few left rows of a key come first, then right rows stream past them.
+
+    Gives likely pairs of different components; with `closest`, of each left row only so many of the most alike in a stretch of rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, left_ids, left_comps = None, [], [], []
@@ -135,7 +142,11 @@ def _blocks(floor: int):
                 elif left:
                     li, lc = np.concatenate(left_ids), np.concatenate(left_comps)
                     for row, i, c in zip(np.concatenate(left), li, lc, strict=True):
-                        hit = np.flatnonzero(_near(briefs[lo:hi], row, floor) & (comps[lo:hi] != c)) + lo
+                        alike = (briefs[lo:hi] == row).sum(1)
+                        hit = np.flatnonzero((alike >= floor) & (comps[lo:hi] != c))
+                        if closest is not None and len(hit) > closest:
+                            hit = hit[np.argpartition(-alike[hit], closest)[:closest]]
+                        hit = hit + lo
                         out[0].extend([i] * len(hit))
                         out[1].extend(ids[hit])
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(*map(np.array, out)).astype(np.int64)), "b": pa.array(np.maximum(*map(np.array, out)).astype(np.int64))})
@@ -177,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component_id is the least doc_id reachable. A null doc_id counts as larger than all others; rows that repeat
     a doc_id are one document each with that name. Other columns are ignored; an empty table gives no rows.
     """
-    floor = max(1, math.floor(BRIEF * (percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / BRIEF))))
+    floor = max(1, math.floor(BRIEF * (percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / BRIEF))))
     trees = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, (1 - percent / 100) ** FANOUT))))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     sketch = materialize(base.mapInArrow(_sketch(k), "id long, n long, k1 long, k2 long, sig binary"), "neardup-sketch")
@@ -204,10 +215,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     star = final.where("near AND id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = _confirmed(star, base, k, percent)
-    first = components(links)
-    members = materialize(final.join(first.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "brief", F.coalesce("component", "id").alias("component")), "neardup-members")
-    more = _confirmed(_across(members, floor), base, k, percent)
-    whole = components(links.unionByName(more))
+    whole = components(links)
+    for closest in (CLOSEST, None):  # most links are found among the closest; then nothing likely is left out
+        members = materialize(final.join(whole.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "brief", F.coalesce("component", "id").alias("component")), "neardup-members")
+        links = links.unionByName(_confirmed(_across(members, floor, closest), base, k, percent))
+        whole = components(links)
 
     named = reps.select("k1", "k2", "n", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
     out = full.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"]).select("id", "n", "component")
@@ -226,7 +238,7 @@ def _brief(sig):
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BRIEF - 1)), lambda i: F.hex(F.substr(sig, 2 * i + 1, F.lit(1)))), ""))
 
 
-def _across(members: DataFrame, floor: int) -> DataFrame:
+def _across(members: DataFrame, floor: int, closest: int | None) -> DataFrame:
     """Likely pairs of members of one node in different components.
 
     In each node the members outside its main component are dealt to blocks; every member meets every block once.
@@ -240,4 +252,4 @@ def _across(members: DataFrame, floor: int) -> DataFrame:
     right = rows.withColumn("r", F.pmod(here, F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
     columns = lambda df, side: df.select(F.xxhash64("node", "l", "r").alias("key"), F.lit(side).alias("side"), "id", "component", "brief")
     met = columns(left, 0).unionByName(columns(right, 1)).repartition("key").sortWithinPartitions("key", "side")
-    return met.mapInArrow(_blocks(floor), "a long, b long").distinct()
+    return met.mapInArrow(_blocks(floor, closest), "a long, b long").distinct()
