@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import hashed_words, materialize, rolling
 
 BUCKETS = 1 << 16
+#: Target ids that may be broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Gumbel keys are compared exactly inside one step of this width.
 STEP = 1 / 256
 
@@ -104,6 +106,8 @@ def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float = 0
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    marks = materialize(marks, "importance-target")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks  # else texts move to their marks
     ratios = feature_ratios(base.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     weights = base.mapInArrow(_weigh(shared, buckets), "doc_id long, n_features long, log_weight double")
