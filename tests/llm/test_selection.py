@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,6 +113,40 @@ def test_language_models(spark):
     assert langid.fit(docs.where("doc_id < 0")) is None and langid.predict(docs, None).where("rejected").count() == len(texts + odd)
 
 
+def test_language_models_keep_every_ngram(spark):
+    """More distinct 5-grams than any limit of old, most of them seen once: cross-entropies equal Kneser-Ney by brute force."""
+    rng = random.Random(12)
+    texts = {i: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12_000)) for i in range(24)}
+    docs = documents(spark, list(texts.items()), dict.fromkeys(texts, "aa"))
+    aside = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(langid.CALIBRATION_PART)) == 0).collect()}
+    level = Counter(w[i : i + 5] for d, x in texts.items() if d not in aside for w in ["\0" * 4 + x] for i in range(len(x)))
+    assert len(level) > 200_000
+    seen = {}
+    for order in range(5, 0, -1):
+        once, twice = (sum(n == m for n in level.values()) for m in (1, 2))
+        total, kinds = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        seen[order] = level, total, kinds, min(0.95, once / (once + 2 * twice)) if once else 0.5
+        level = Counter(g[1:] for g in level)
+
+    def probability(gram):
+        p = 1 / 4096
+        for order in range(1, 6):
+            level, total, kinds, d = seen[order]
+            g = gram[5 - order :]
+            if total[g[:-1]]:
+                p = (max(level[g] - d, 0) + d * kinds[g[:-1]] * p) / total[g[:-1]]
+        return p
+
+    got = {r.doc_id: r.cross_entropy for r in langid.predict(docs, langid.fit(docs)).collect()}
+    for d in [min(aside), min(texts.keys() - aside)]:
+        w = "\0" * 4 + texts[d]
+        want = -sum(math.log(probability(w[i : i + 5])) for i in range(len(texts[d]))) / len(texts[d])
+        assert abs(got[d] - want) < 1e-4
+
+
 def test_importance(spark):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choices(["good", "fine", "well", "the"] if i % 2 else ["bad", "spam", "junk", "the"], k=30))) for i in range(200)] + [(900, None), (901, "")]
