@@ -36,6 +36,8 @@ BLOCK_LEFT, BLOCK_RIGHT = 256, 4096
 #: Ids that may be broadcast to filter texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 NO_ID = (1 << 63) - 1
+#: What a set is known by.
+KEY = ["k1", "k2", "n"]
 
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 1 << 32, T, dtype=np.uint32) | np.uint32(1)
@@ -74,15 +76,43 @@ def _sketch(k: int):
                 n, k1, k2, sigs = [], [], [], []
                 for _ in ids[at : at + 2000]:
                     s = next(sets)
+                    x, y = _sums(s)
                     n.append(len(s))
-                    k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
-                    k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
+                    k1.append(x)
+                    k2.append(y)
                     sigs.append(_signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids[at : at + 2000], pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
     return run
 
 
+def _sums(s: np.ndarray) -> tuple[int | None, int | None]:
+    """Two sums over a set's hashes, which with its size tell sets apart."""
+    if not len(s):
+        return None, None
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _keyed(k: int):
+    """All columns and the key of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, k1, k2 = [], [], []
+            for s in shingle_sets(b.column("text"), k):
+                x, y = _sums(s)
+                n.append(len(s))
+                k1.append(x)
+                k2.append(y)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64())], [*b.schema.names, *KEY])
+
+    return run
+
+
+def _with_key(docs: DataFrame, k: int) -> DataFrame:
+    return docs.mapInArrow(_keyed(k), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", k1 long, k2 long, n long")
+
+
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
@@ -168,13 +198,17 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that hold on the full shingle sets. Only texts in some pair are moved."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that hold on the full shingle sets. Only texts in some pair are moved.
+
+    Texts are found by doc_id and then by their sets, as texts of one doc_id may differ.
+    """
     pairs = materialize(pairs.distinct(), "neardup-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")) if not few else texts.dropDuplicates(["id"]), "neardup-texts")
+    wanted = materialize(reps.select(*KEY, "id", "doc").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "neardup-wanted")
+    names = wanted.select("doc").distinct()
+    names = F.broadcast(names) if wanted.count() <= BROADCAST_IDS else names
+    texts = _with_key(texts.join(names, "doc", "left_semi").select("text"), k).where("n > 0").groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = materialize(texts.join(wanted, KEY).select("id", "text"), "neardup-texts")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "neardup-links")
@@ -186,15 +220,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are cut at ASCII white space, A-Z lower-cased. Two documents are linked when 100 * |A & B| >= percent * |A | B| on
     their sets of distinct k-word shingles (all words as one, if fewer). Null or wordless texts have no set and are linked with nothing.
     component_id is the least doc_id reachable. A null doc_id counts as larger than all others; rows that repeat
-    a doc_id are one document each with that name. Other columns are ignored; an empty table gives no rows.
+    a doc_id are one document each with that name, and one row of a component is kept. Other columns are ignored; an empty table gives no rows.
     """
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _decided(docs, k, percent).select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), "kept")
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps. Rows that share a doc_id are told apart by their sets."""
+    rows = materialize(_decided(docs, k, percent).select("doc", *KEY, "kept").where("NOT kept OR n > 0"), "neardup-decided")
+    names = rows.groupBy("doc").agg(F.count_if(~F.col("kept")).alias("gone"), F.count_if("kept").alias("stay")).where("gone > 0")
+    names = materialize(names, "neardup-names")
+    few = lambda df: F.broadcast(df) if names.count() <= BROADCAST_IDS else df
+    gone, name = few(names.select(F.col("doc").alias("_gone"))), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    out = docs.join(gone, name == F.col("_gone"), "left_anti")
+    # rows of a name that has dropped rows: those without a set stay, and of each kept set one row
+    some = _with_key(docs.join(gone, name == F.col("_gone"), "left_semi"), k)
+    stay = rows.where("kept").join(names.select("doc"), "doc", "left_semi").select(F.col("doc").alias("_doc"), *[F.col(c).alias(f"_{c}") for c in KEY])
+    same = [F.coalesce(some["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc"), *[some[c] == F.col(f"_{c}") for c in KEY]]
+    first = some.where("n > 0").join(stay, same, "left_semi").groupBy("doc_id", *KEY).agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("row")).select("row.*")
+    return out.unionByName(some.where("n = 0").select(*docs.columns)).unionByName(first)
+
+
+def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc (NO_ID for null), k1, k2, n, component (its least doc) and kept for every row."""
     floor = max(1, math.floor(BRIEF * (percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / BRIEF))))
     trees = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, (1 - percent / 100) ** FANOUT))))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(base.mapInArrow(_sketch(k), "id long, n long, k1 long, k2 long, sig binary"), "neardup-sketch")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+    sketch = materialize(base.withColumnRenamed("doc", "id").mapInArrow(_sketch(k), "id long, n long, k1 long, k2 long, sig binary"), "neardup-sketch")
+    sketch = sketch.withColumnRenamed("id", "doc")
     full = sketch.where("n > 0")
-    reps = materialize(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "neardup-reps")
-    sigs = reps.select("id", "sig").dropDuplicates(["id"]) if _repeats(reps) else reps.select("id", "sig")
+    reps = full.groupBy(*KEY).agg(F.min("doc").alias("doc"), F.first("sig").alias("sig")).sortWithinPartitions(*KEY)
+    # an id of its own for every set, whatever doc_ids repeat
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "neardup-reps")
+    sigs = reps.select("id", "sig")
 
     rows = sigs.withColumn("node", F.explode(F.array(*[F.lit(7919 * (i + 1)).cast("long") for i in range(trees)])))
     final = None
@@ -214,23 +273,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
 
     star = final.where("near AND id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = _confirmed(star, base, k, percent)
+    links = _confirmed(star, base, reps, k, percent)
     whole = components(links)
     for closest in (CLOSEST, None):  # most links are found among the closest; then nothing likely is left out
         members = materialize(final.join(whole.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "brief", F.coalesce("component", "id").alias("component")), "neardup-members")
-        links = links.unionByName(_confirmed(_across(members, floor, closest), base, k, percent))
+        links = links.unionByName(_confirmed(_across(members, floor, closest), base, reps, k, percent))
         whole = components(links)
 
-    named = reps.select("k1", "k2", "n", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
-    out = full.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"]).select("id", "n", "component")
-    out = out.unionByName(sketch.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
-
-
-def _repeats(reps: DataFrame) -> bool:
-    """Whether two sets have the same least id: only where doc_ids repeat."""
-    return bool(reps.groupBy("id").count().where("count > 1").limit(1).count())
+    named = reps.select(*KEY, "doc", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select(*KEY, "doc", F.coalesce("component", "id").alias("set"))
+    least = named.groupBy("set").agg(F.min(F.struct("doc", *KEY)).alias("least"))
+    named = named.drop("doc").join(least, "set").select(*KEY, F.col("least.doc").alias("component"), (F.struct(*KEY) == F.struct(*[F.col(f"least.{c}") for c in KEY])).alias("main"))
+    # rows equal in doc and set are counted and dealt out again, the first as the one that may stay
+    out = full.groupBy("doc", *KEY).agg(F.count("*").alias("copies")).join(named, KEY)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = out.select("doc", *KEY, "component", (F.col("main") & (F.col("doc") == F.col("component")) & (F.col("copy") == 1)).alias("kept"))
+    return out.unionByName(sketch.where("n = 0").select("doc", *KEY, F.col("doc").alias("component"), F.lit(True).alias("kept")))
 
 
 def _brief(sig):

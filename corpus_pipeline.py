@@ -18,10 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the one of least doc_id stays."""
-    found = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = materialize(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies")
-    gone = F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return neardup.without_copies(docs, k=5, percent=80).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

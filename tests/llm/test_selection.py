@@ -59,6 +59,18 @@ def test_chosen_path_equals_brute_force(spark):
     assert neardup.near_duplicates(documents(spark, texts).where("doc_id < 0"), 3, 85).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts under one doc_id or none are told apart: links of each count, and rows go one by one."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abcd")
+    near = lambda t: t + " more"
+    docs = documents(spark, [(None, a), (None, b), (None, c), (None, None), (1, near(a)), (2, near(b)), (7, c), (7, d), (7, d), (8, near(d))])
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect())
+    assert got == Counter([(None, 1, False), (None, 2, False), (None, 7, False), (None, None, True), (1, 1, True), (2, 2, True), (7, 7, True), (7, 7, True), (7, 7, False), (8, 7, False)])
+    left = Counter((r.doc_id, r.text) for r in neardup.without_copies(docs, 3, 85).collect())
+    assert left == Counter([(None, None), (1, near(a)), (2, near(b)), (7, c), (7, d)])
+
+
 def test_block_anchors_equal_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(2000)]
