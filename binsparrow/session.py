@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a temporary one only where there is none."""
+    """Checkpoints go to the folder the cluster names; a temporary one only where a local session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = sc.getConf().get("spark.checkpoint.dir", None)
+        if base is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
