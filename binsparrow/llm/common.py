@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-#: Entries of a task's word cache before it starts anew; bounds a worker's memory.
-CACHE_WORDS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return base
@@ -37,25 +39,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-cases A-Z only, as the contracts ask."""
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def put_file(path: str, write) -> None:
+    """Write under a name of this attempt, then move: retried and doubled tasks leave whole files."""
+    system, at = open_path(path)
+    context = TaskContext.get()
+    part = f"{at}.{context.taskAttemptId() if context else 0}.part"
+    system.create_dir(os.path.dirname(at), recursive=True)
+    with system.open_output_stream(part) as out:
+        write(out)
+    system.move(part, at)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once per word and task."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def map_file(path: str, dtype: str) -> np.ndarray:
+    """A file's numbers: mapped into memory where the store is mounted, else read."""
+    system, at = open_path(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.asarray(np.memmap(at, dtype, "r")) if os.path.getsize(at) else np.zeros(0, dtype)
+    with system.open_input_stream(at) as f:
+        return np.frombuffer(f.read(), dtype)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

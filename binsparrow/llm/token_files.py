@@ -11,19 +11,17 @@ each, in unspecified order among themselves; other columns are ignored; an empty
 from __future__ import annotations
 
 import json
-import os
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_bytes
+from .common import map_file, open_path, put_file, shared_path, text_bytes
 from .tokens import encoder
 
 NO_DOC = np.iinfo(np.int64).min
@@ -31,20 +29,6 @@ NO_DOC = np.iinfo(np.int64).min
 PARTITION_BYTES = 32 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _put(path: str, write) -> None:
-    """Write under a name of this attempt, then move: retried and doubled tasks leave whole files."""
-    system, at = _open(path)
-    context = TaskContext.get()
-    part = f"{at}.{context.taskAttemptId() if context else 0}.part"
-    with system.open_output_stream(part) as out:
-        write(out)
-    system.move(part, at)
-
-
 def _encode(tokenizer: str, dtype: str, end_id: int):
     end = np.array([end_id], dtype).tobytes()
 
@@ -64,15 +48,15 @@ def _write(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (pid, doc_id): one open file at a time."""
         made, current = [], None
-        system, at = _open(path)
+        system, at = open_path(path)
         attempt = TaskContext.get().taskAttemptId()
 
         def close() -> None:
             pid, out, part, docs, lengths = current
             out.close()
             system.move(part, f"{at}/ids-{pid:06d}.bin")
-            _put(f"{path}/docs-{pid:06d}.bin", lambda o: o.write(np.array(docs, "<i8").tobytes()))
-            _put(f"{path}/lengths-{pid:06d}.bin", lambda o: o.write(np.array(lengths, "<i8").tobytes()))
+            put_file(f"{path}/docs-{pid:06d}.bin", lambda o: o.write(np.array(docs, "<i8").tobytes()))
+            put_file(f"{path}/lengths-{pid:06d}.bin", lambda o: o.write(np.array(lengths, "<i8").tobytes()))
             made.append((pid, len(docs), int(sum(lengths))))
 
         for b in batches:
@@ -99,11 +83,11 @@ def _place(path: str, base: dict[int, int]):
         for b in batches:
             for i in b.column("id").to_pylist():
                 pid = sorted(base)[i]
-                system, at = _open(f"{path}/lengths-{pid:06d}.bin")
+                system, at = open_path(f"{path}/lengths-{pid:06d}.bin")
                 with system.open_input_stream(at) as f:
                     lengths = np.frombuffer(f.read(), "<i8")
                 offsets = base[pid] + np.concatenate([[0], np.cumsum(lengths)])
-                _put(f"{path}/offsets-{pid:06d}.bin", lambda o, x=offsets: o.write(x.astype("<u8").tobytes()))
+                put_file(f"{path}/offsets-{pid:06d}.bin", lambda o, x=offsets: o.write(x.astype("<u8").tobytes()))
             yield b
 
     return run
@@ -123,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     pid = F.lit(0) + (F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0))
     placed = docs.select("doc_id", "text", F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(pid), F.lit(0)).cast("int").alias("pid"))
     ids = placed.mapInArrow(_encode(tokenizer, dtype, end_id), "doc_id long, pid int, ids binary")
-    system, at = _open(path)
+    system, at = open_path(path)
     system.create_dir(at, recursive=True)
     ranges = ids.repartition(len(bounds) + 1, "pid").sortWithinPartitions("pid", "doc_id")
     made = sorted(map(tuple, ranges.mapInArrow(_write(path, int(dtype[-1])), "pid int, n_docs long, n_tokens long").collect()))
@@ -134,24 +118,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     if made:
         spark.range(0, len(made), 1, len(made)).mapInArrow(_place(path, base), "id long").count()
     manifest = {"dtype": dtype, "end_id": end_id, "n_tokens": total, "parts": [{"pid": p, "n_docs": d, "n_tokens": t, "base": base[p]} for p, d, t in made]}
-    _put(f"{path}/manifest.json", lambda o: o.write(json.dumps(manifest).encode()))
+    put_file(f"{path}/manifest.json", lambda o: o.write(json.dumps(manifest).encode()))
     return manifest
 
 
-def _mapped(path: str, dtype: str) -> np.ndarray:
-    system, at = _open(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
-    with system.open_input_stream(at) as f:  # a store without memory maps
-        return np.frombuffer(f.read(), dtype)
-
-
 def _read(path: str, pids: list[int], dtype: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column("id").to_pylist():
                 p = pids[i]
-                ids, docs, offsets = (_mapped(f"{path}/{name}-{p:06d}.bin", kind) for name, kind in (("ids", dtype), ("docs", "<i8"), ("offsets", "<u8")))
+                ids, docs, offsets = (map_file(f"{path}/{name}-{p:06d}.bin", kind) for name, kind in (("ids", dtype), ("docs", "<i8"), ("offsets", "<u8")))
                 local = (offsets - offsets[0]).astype(np.int64)
                 for at in range(0, len(docs), 2000):
                     end = min(at + 2000, len(docs))
@@ -172,7 +148,7 @@ def _read(path: str, pids: list[int], dtype: str, with_ids: bool):
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of a written corpus: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
-    system, at = _open(f"{path}/manifest.json")
+    system, at = open_path(f"{path}/manifest.json")
     with system.open_input_stream(at) as f:
         manifest = json.loads(f.read())
     pids = [p["pid"] for p in manifest["parts"]]

@@ -125,6 +125,37 @@ def test_language_models(spark):
     assert langid.fit(docs.where("doc_id < 0")) is None and langid.predict(docs, None).where("rejected").count() == len(texts + odd)
 
 
+def test_language_of_empty_texts(spark):
+    """Null, empty and letterless texts first, last and alone in a batch are `und`, and leave their neighbours alone."""
+    rng = random.Random(3)
+    stock = {"aa": "kalomiretuna", "bb": "schtrgwynzk"}
+    rows = [(i, "".join(rng.choices(stock[x] + " ", k=90)), x) for i in range(200) for x in ["ab"[i % 2] * 2]]
+    model = langid.fit(documents(spark, [r[:2] for r in rows], {i: x for i, _, x in rows}))
+    word = rows[0][1]
+    alone = langid.cross_entropies(model, [word])
+    for odd in (None, "", "7 8", " \n"):
+        for texts in ([odd], [odd, word], [word, odd], [odd, odd, word, odd, word, odd]):
+            n, ce = langid.cross_entropies(model, texts)
+            assert [x > 0 for x in n] == [t is word for t in texts]
+            assert all(abs(ce[k] - alone[1][0]).max() < 1e-9 and n[k] == alone[0][0] for k, t in enumerate(texts) if t is word)
+    same = documents(spark, [(1, word), (1, word), (None, word), (2, None), (3, word + " " + "kalo mire " * 30_000)])
+    got = [tuple(r) for r in langid.predict(same.select("doc_id", "text").coalesce(1), model).select("doc_id", "lang_pred", "rejected").collect()]
+    assert Counter(got) == Counter([(1, "aa", False), (1, "aa", False), (None, "aa", False), (2, "und", True), (3, "aa", False)])
+
+
+def test_language_rejection_rate(spark):
+    """Texts of known languages stay at every length; another alphabet and random letters go."""
+    rng = random.Random(21)
+    words = {x: ["".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(150)] for x, a in (("aa", "aeioklmnprst"), ("bb", "bdfgjoruvwyz"))}
+    make = lambda i, x: (i, " ".join(rng.choices(words[x], k=rng.choice([1, 2, 4, 9, 30, 200]))), x)
+    train = [make(i, ["aa", "bb"][i % 2]) for i in range(3000)]
+    model = langid.fit(documents(spark, [r[:2] for r in train], {i: x for i, _, x in train}))
+    fresh = [make(i, ["aa", "bb"][i % 2]) for i in range(10_000, 13_000)]
+    odd = [(20_000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), None) for i in range(50)]
+    got = {r.doc_id: r.rejected for r in langid.predict(documents(spark, [r[:2] for r in fresh + odd]), model).collect()}
+    assert sum(got[r[0]] for r in fresh) <= 3 and all(got[r[0]] for r in odd)
+
+
 def test_language_models_keep_every_ngram(spark):
     """More distinct 5-grams than any limit of old, most of them seen once: cross-entropies equal Kneser-Ney by brute force."""
     rng = random.Random(12)
