@@ -24,15 +24,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("a < b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every component is a star: no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); a component is named by its least node."""
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "components")
-    seen = None
-    while True:
+    while not _settled(edges):
         edges = materialize(_small_star(_large_star(edges)), "components")
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == seen:
-            break
-        seen = state
     leaves = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return leaves.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -2,10 +2,14 @@
 
 Every document becomes a set of shingle hashes and a signature of T minwise tokens. Documents with equal sets collapse to one
 representative. A tree sends each representative of a node to FANOUT children, picked by the node from the T tokens: two
-documents of similarity s miss each other at a node with probability (1 - s)^FANOUT, so the number of independent trees follows
-from the target recall. A node of more than SMALL members whose members mostly differ from its pivot (the least) branches again. Nodes
-that stay are compared in two steps: members with the pivot, and, once those links have made components, members of
-different components with each other, in blocks, the most alike first. Signatures only propose pairs; every link is confirmed on the full sets.
+documents of similarity s miss each other in a tree with probability q = (1 - s (1 - q))^FANOUT, so the number of independent trees
+follows from the target recall. Nodes of more than SMALL members branch again, unless most members are like a few
+pivots of the node.
+
+A small node is compared exhaustively in one task: signatures propose groups of members that may be linked, and each distinct group is
+compared on the full sets, whose texts travel once for each group; of a group's links only those that join two
+components are kept. A large node that does not branch is first compared with its pivots; members that this leaves outside the node's main
+component then meet all members, in blocks.
 """
 
 from __future__ import annotations
@@ -15,26 +19,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_words, materialize, mix, rolling
 from .components import components
 
-#: Minwise tokens of a signature; the first BRIEF of them, a byte each, travel with the nodes.
-T, BRIEF = 128, 96
-FANOUT = 2
+#: Minwise tokens of a signature; a byte of each travels with the nodes.
+T = 128
+FANOUT = 3
 RECALL = 0.9999
-#: Members up to which a node is compared without branching, and levels at most; what stays large is compared in blocks.
-SMALL, DEPTH = 1024, 6
-#: Standard deviations of the signature's estimate below the threshold at which a pair still is confirmed.
-SLACK = 3.6
-#: Partners of a member outside its node's main component in the first of two rounds.
-CLOSEST = 4
+#: Members up to which a node is compared without branching, and levels at most.
+SMALL, DEPTH = 2048, 6
+#: Standard deviations of the signature's estimate below the threshold at which a pair still may be linked.
+SLACK = 4.2
+#: Members of a large node that all others are compared with, about.
+PIVOTS = 16
 #: Rows on the sides of a block comparison.
-BLOCK_LEFT, BLOCK_RIGHT = 256, 4096
-#: Ids that may be broadcast to filter texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BLOCK_LEFT, BLOCK_RIGHT = 256, 1024
+#: Ids of documents, or of nodes, that may be broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Rows whose signatures are compared at once; whole units only.
+CHUNK_ROWS = 16_384
 NO_ID = (1 << 63) - 1
 #: What a set is known by.
 KEY = ["k1", "k2", "n"]
@@ -118,6 +125,9 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
+NODES = "node long, id long, n long, brief binary"
+
+
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of each (node, id): FANOUT of the signature's tokens, those the node ranks first."""
     for whole in batches:
@@ -129,89 +139,214 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.argpartition(order, FANOUT, axis=1)[:, :FANOUT]
             token = np.take_along_axis(sig, pick, 1).astype(np.uint64) | pick.astype(np.uint64) << np.uint64(16)
             child = mix(mix(node)[:, None] ^ mix(token + np.uint64(1)))
-            brief = [r.tobytes() for r in (sig[:, :BRIEF] & 0xFF).astype(np.uint8)]
-            rows = np.repeat(np.arange(len(node)), FANOUT)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(child.ravel().view(np.int64)), "id": b.column("id").take(pa.array(rows)), "brief": pa.array(brief, pa.binary()).take(pa.array(rows))})
+            brief = pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary())
+            rows = pa.array(np.repeat(np.arange(len(node)), FANOUT))
+            yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), *(c.take(rows) for c in (b.column("id"), b.column("n"), brief))], ["node", "id", "n", "brief"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, floor: int) -> np.ndarray:
-    return (a == b).sum(-1) >= floor
+def _units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by unit, again in stretches of about so many rows that hold whole units."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b.select(columns))
+        size += b.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            unit = table.column("unit").to_numpy()
+            cut = int(np.searchsorted(unit, unit[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), len(unit) - cut
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _with_pivot(floor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = _near(_matrix(b.column("brief"), "u1"), _matrix(b.column("pivot_brief"), "u1"), floor) if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "id", "brief", "n", "pivot")] + [pa.array(ok)], ["node", "id", "brief", "n", "pivot", "near"])
-
-    return run
+UNITS = "node long, unit long, side int, id long, comp long"
 
 
-def _blocks(floor: int, closest: int | None):
-    """Rows sorted by (key, side): the few left rows of a key come first, then right rows stream past them.
+def _propose(floor: int, percent: int):
+    """Groups of each unit's members that may be linked, by signature and set size.
 
-    Gives likely pairs of different components; with `closest`, of each left row only so many of the most alike in a stretch of rows.
+    Members of side 0 are compared with those of side 1, or with each other if there are none. Pairs of one component do not count.
     """
 
+    def process(t: pa.Table) -> pa.RecordBatch:
+        node, unit, side, ids, comp, n = (t.column(c).to_numpy() for c in ("node", "unit", "side", "id", "comp", "n"))
+        brief = _matrix(t.column("brief"), "u1")
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        sizes = np.diff(np.append(first, len(unit)))
+        lefts = np.add.reduceat(side == 0, first)
+        label = np.arange(len(unit))
+
+        def alike(i, j):
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok[ok] = np.count_nonzero(brief[j[ok]] == (brief[i[ok]] if isinstance(i, np.ndarray) else brief[i]), axis=1) >= floor
+            return j[ok]
+
+        def join(i: int, hits: np.ndarray, lo: int, hi: int) -> None:
+            other = np.unique(label[hits])
+            if len(other) > 1 or len(other) and other[0] != label[i]:
+                here = label[lo:hi]
+                here[np.isin(here, other)] = label[i]
+
+        few = sizes <= 9  # all pairs of all few-membered units at once
+        which = np.repeat(np.arange(len(first)), sizes)
+        for k in range(1, 9):
+            i = np.flatnonzero((unit[k:] == unit[:-k]) & few[which[:-k]] & ((side[k:] != side[:-k]) | (lefts == sizes)[which[:-k]]))
+            for j in alike(i, i + k).tolist():
+                join(j - k, np.array([j]), first[which[j]], first[which[j]] + sizes[which[j]])
+        for u in np.flatnonzero(~few).tolist():
+            lo, mid, hi = first[u], first[u] + lefts[u], first[u] + sizes[u]
+            for i in range(lo, mid):
+                others = np.arange(mid if mid < hi else i + 1, hi)
+                join(i, alike(np.int64(i), others), lo, hi)
+        order = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
+        key, chosen = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo > 1:
+                members = order[lo:hi]
+                members = members[np.lexsort((ids[members], side[members]))]
+                key += [xxhash.xxh3_64_intdigest(np.stack([ids[members], side[members]]).tobytes()) - (1 << 63)] * len(members)
+                chosen.append(members)
+        chosen = np.concatenate(chosen) if chosen else np.zeros(0, int)
+        return pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array(key, pa.int64()), *(pa.array(x[chosen]) for x in (side, ids, comp))], ["node", "unit", "side", "id", "comp"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left, left_ids, left_comps = None, [], [], []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, sides, ids, comps = (b.column(c).to_numpy() for c in ("key", "side", "id", "component"))
-            briefs = _matrix(b.column("brief"), "u1")
-            cuts = np.flatnonzero(np.diff(keys) | np.diff(sides)) + 1
-            out: tuple[list, list] = ([], [])
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if keys[lo] != key:
-                    key, left, left_ids, left_comps = keys[lo], [], [], []
-                if sides[lo] == 0:
-                    left.append(briefs[lo:hi])
-                    left_ids.append(ids[lo:hi])
-                    left_comps.append(comps[lo:hi])
-                elif left:
-                    li, lc = np.concatenate(left_ids), np.concatenate(left_comps)
-                    for row, i, c in zip(np.concatenate(left), li, lc, strict=True):
-                        alike = (briefs[lo:hi] == row).sum(1)
-                        hit = np.flatnonzero((alike >= floor) & (comps[lo:hi] != c))
-                        if closest is not None and len(hit) > closest:
-                            hit = hit[np.argpartition(-alike[hit], closest)[:closest]]
-                        hit = hit + lo
-                        out[0].extend([i] * len(hit))
-                        out[1].extend(ids[hit])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(*map(np.array, out)).astype(np.int64)), "b": pa.array(np.maximum(*map(np.array, out)).astype(np.int64))})
+        for t in _units(batches, ("node", "unit", "side", "id", "comp", "n", "brief"), CHUNK_ROWS):
+            yield process(t)
 
     return run
 
 
+def _proposed(units: DataFrame, floor: int, percent: int) -> DataFrame:
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_propose(floor, percent), UNITS)
+
+
+def _forest(sets: list[np.ndarray], lefts: int, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links on full sets that join components: of the first `lefts` with the others, or of all if there are no others."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes, start = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n) - n
+    mark, label, links = np.zeros(codes.max() + 1, bool), comp.copy(), []
+    for i in range(lefts if lefts < len(sets) else len(sets) - 1):
+        lo = lefts if lefts < len(sets) else i + 1
+        if not ((label[lo:] != label[i]) & (100 * np.minimum(n[lo:], n[i]) >= percent * np.maximum(n[lo:], n[i]))).any():
+            continue
+        mine = codes[start[i] : start[i] + n[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[codes[start[lo] :]], start[lo:] - start[lo], dtype=np.int64)
+        mark[mine] = False
+        for j in (np.flatnonzero(100 * both >= percent * (n[lo:] + n[i] - both)) + lo).tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                part = whole.slice(at, 500)
-                ok = []
-                for x, y in zip(shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        unit, sets, ids, comps, lefts = None, [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            links = _forest(sets, lefts, np.array(comps), percent) if len(sets) > 1 else []
+            pairs = [sorted((ids[i], ids[j])) for i, j in links]
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("unit", "side", "id", "comp")), shingle_sets(b.column("text"), k), strict=True)
+            for u, side, i, comp, s in rows:
+                if u != unit:
+                    if len(sets) > 1:
+                        yield close()
+                    unit, sets, ids, comps, lefts = u, [], [], [], 0
+                sets.append(s)
+                ids.append(i)
+                comps.append(comp)
+                lefts += side == 0
+        yield close()
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that hold on the full shingle sets. Only texts in some pair are moved.
+def _confirmed(groups: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups that hold on the full shingle sets. Only texts in some group are moved.
 
     Texts are found by doc_id and then by their sets, as texts of one doc_id may differ.
     """
-    pairs = materialize(pairs.distinct(), "neardup-pairs")
-    wanted = materialize(reps.select(*KEY, "id", "doc").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "neardup-wanted")
-    names = wanted.select("doc").distinct()
-    names = F.broadcast(names) if wanted.count() <= BROADCAST_IDS else names
-    texts = _with_key(texts.join(names, "doc", "left_semi").select("text"), k).where("n > 0").groupBy(*KEY).agg(F.first("text").alias("text"))
-    texts = materialize(texts.join(wanted, KEY).select("id", "text"), "neardup-texts")
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "neardup-links")
+    groups = materialize(groups.select("unit", "side", "id", "comp").dropDuplicates(["unit", "side", "id"]), "neardup-groups")
+    wanted = materialize(reps.join(groups.select("id").distinct(), "id", "left_semi").select("doc", *KEY, "id"), "neardup-wanted")
+    few = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
+    named = _with_key(texts.join(few(wanted.select("doc").distinct()), "doc", "left_semi"), k)
+    texts = named.join(few(wanted), ["doc", *KEY]).groupBy("id").agg(F.first("text").alias("text"))
+    rows = groups.join(texts, "id").repartition("unit").sortWithinPartitions("unit", "side")
+    return materialize(rows.mapInArrow(_confirm(k, percent), "a long, b long"), "neardup-links")
+
+
+def _trees(percent: int) -> int:
+    """Independent trees that together find a pair at the threshold with probability RECALL, however deep they branch."""
+    missed = 0.0
+    for _ in range(DEPTH):
+        missed = (1 - percent / 100 * (1 - missed)) ** FANOUT
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, missed))))
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """Units of large nodes: the node's pivots on one side, a block of its members on the other."""
+    draw = F.shiftrightunsigned(F.xxhash64("node", "id", F.lit("pivot")), 11).cast("double") / float(1 << 53)
+    blocks = F.ceil(F.col("m") / BLOCK_RIGHT)
+    members = held.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("side", F.lit(1))
+    pivots = held.where(draw < PIVOTS / F.col("m")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("side", F.lit(0))
+    return pivots.unionByName(members).select("node", F.xxhash64("node", "block").alias("unit"), "side", "id", F.col("id").alias("comp"), "n", "brief")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Units of large nodes: blocks of members outside the node's main component on one side, blocks of all on the other."""
+    each = members.groupBy("node", "comp").agg(F.count("*").alias("m"))
+    main = each.groupBy("node").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("node", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK_LEFT).alias("lefts"), F.ceil(F.col("m") / BLOCK_RIGHT).alias("rights"))
+    rows, here, zero = members.join(main, "node"), F.xxhash64("id"), F.lit(0).cast("long")
+    left = rows.where("comp <> main").withColumn("l", F.pmod(here, F.col("lefts"))).withColumn("r", F.explode(F.sequence(zero, F.col("rights") - 1)))
+    right = rows.withColumn("r", F.pmod(here, F.col("rights"))).withColumn("l", F.explode(F.sequence(zero, F.col("lefts") - 1)))
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    return rows.select("node", F.xxhash64("node", "l", "r").alias("unit"), "side", "id", "comp", "n", "brief")
+
+
+def _linked(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of representatives (id, n, sig and what their texts are known by) that have a link."""
+    floor = max(1, math.floor(T * (percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / T))))
+    rows = reps.select("id", "n", "sig", F.explode(F.array(*[F.lit(7919 * (i + 1)).cast("long") for i in range(_trees(percent))])).alias("node"))
+    groups, dense = [], []
+    for depth in range(1, DEPTH + 1):
+        level = rows.mapInArrow(_branch, NODES)
+        large = materialize(level.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > SMALL), "neardup-large")
+        some = large.count()
+        few = F.broadcast if some <= BROADCAST_IDS else lambda df: df
+        small = level.join(few(large), "node", "left_anti") if some else level
+        small = small.select("node", F.col("node").alias("unit"), F.lit(0).alias("side"), "id", F.col("id").alias("comp"), "n", "brief")
+        groups.append(_proposed(small, floor, percent))
+        if not some:
+            break
+        held = materialize(level.join(few(large), "node"), "neardup-held")
+        near = materialize(_proposed(_stars(held), floor, percent), "neardup-near")
+        groups.append(near)
+        alike = near.where("side = 1").groupBy("node").agg(F.countDistinct("id").alias("alike")).join(large, "node")
+        stop = large.select("node") if depth == DEPTH else alike.where("2 * alike >= m").select("node")
+        stop = materialize(stop, "neardup-dense")
+        dense.append(held.join(few(stop), "node", "left_semi"))
+        rows = materialize(held.join(few(stop), "node", "left_anti").select("node", "id", "n").join(reps.select("id", "sig"), "id"), "neardup-rows")
+    every = groups[0]
+    for g in groups[1:]:
+        every = every.unionByName(g)
+    links = _confirmed(every, texts, reps, k, percent)
+    whole = components(links)
+    if not dense:
+        return whole
+    members = dense[0]
+    for d in dense[1:]:
+        members = members.unionByName(d)
+    members = members.drop("m").join(whole.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", "brief", F.coalesce("component", "id").alias("comp"))
+    members = materialize(members, "neardup-members")
+    return components(links.unionByName(_confirmed(_proposed(_across(members), floor, percent), texts, reps, k, percent)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -244,42 +379,14 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc (NO_ID for null), k1, k2, n, component (its least doc) and kept for every row."""
-    floor = max(1, math.floor(BRIEF * (percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / BRIEF))))
-    trees = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, (1 - percent / 100) ** FANOUT))))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     sketch = materialize(base.withColumnRenamed("doc", "id").mapInArrow(_sketch(k), "id long, n long, k1 long, k2 long, sig binary"), "neardup-sketch")
     sketch = sketch.withColumnRenamed("id", "doc")
     full = sketch.where("n > 0")
-    reps = full.groupBy(*KEY).agg(F.min("doc").alias("doc"), F.first("sig").alias("sig")).sortWithinPartitions(*KEY)
+    reps = full.groupBy(*KEY).agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
     # an id of its own for every set, whatever doc_ids repeat
     reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "neardup-reps")
-    sigs = reps.select("id", "sig")
-
-    rows = sigs.withColumn("node", F.explode(F.array(*[F.lit(7919 * (i + 1)).cast("long") for i in range(trees)])))
-    final = None
-    for depth in range(1, DEPTH + 1):
-        level = materialize(rows.select("node", "id", "sig").mapInArrow(_branch, "node long, id long, brief binary"), "neardup-level")
-        pivots = level.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        pivots = pivots.join(sigs.select(F.col("id").alias("pivot"), "sig"), "pivot")
-        pivots = pivots.withColumn("pivot_brief", _brief(F.col("sig"))).drop("sig")
-        seen = materialize(level.join(pivots, "node").select("node", "id", "brief", "n", "pivot", "pivot_brief").mapInArrow(_with_pivot(floor), "node long, id long, brief binary, n long, pivot long, near boolean"), "neardup-nodes")
-        sparse = seen.where(F.col("n") > SMALL).groupBy("node").agg(F.count("*").alias("m"), F.count_if("near").alias("alike")).where("2 * alike < m").select("node")
-        if depth < DEPTH and sparse.limit(1).count():
-            kept = seen.join(sparse, "node", "left_anti")
-            rows = seen.where(F.col("n") > SMALL).join(sparse, "node").select("node", "id").join(sigs, "id")
-            final = kept if final is None else final.unionByName(kept)
-        else:
-            final = seen if final is None else final.unionByName(seen)
-            break
-
-    star = final.where("near AND id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = _confirmed(star, base, reps, k, percent)
-    whole = components(links)
-    for closest in (CLOSEST, None):  # most links are found among the closest; then nothing likely is left out
-        members = materialize(final.join(whole.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "brief", F.coalesce("component", "id").alias("component")), "neardup-members")
-        links = links.unionByName(_confirmed(_across(members, floor, closest), base, reps, k, percent))
-        whole = components(links)
-
+    whole = _linked(reps, base, k, percent)
     named = reps.select(*KEY, "doc", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select(*KEY, "doc", F.coalesce("component", "id").alias("set"))
     least = named.groupBy("set").agg(F.min(F.struct("doc", *KEY)).alias("least"))
     named = named.drop("doc").join(least, "set").select(*KEY, F.col("least.doc").alias("component"), (F.struct(*KEY) == F.struct(*[F.col(f"least.{c}") for c in KEY])).alias("main"))
@@ -288,25 +395,3 @@ def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     out = out.select("doc", *KEY, "component", (F.col("main") & (F.col("doc") == F.col("component")) & (F.col("copy") == 1)).alias("kept"))
     return out.unionByName(sketch.where("n = 0").select("doc", *KEY, F.col("doc").alias("component"), F.lit(True).alias("kept")))
-
-
-def _brief(sig):
-    """The low bytes of the first BRIEF little-endian two-byte tokens."""
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BRIEF - 1)), lambda i: F.hex(F.substr(sig, 2 * i + 1, F.lit(1)))), ""))
-
-
-def _across(members: DataFrame, floor: int, closest: int | None) -> DataFrame:
-    """Likely pairs of members of one node in different components.
-
-    In each node the members outside its main component are dealt to blocks; every member meets every block once.
-    """
-    each = members.groupBy("node", "component").agg(F.count("*").alias("m"))
-    main = each.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    main = main.select("node", "n", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK_LEFT).alias("lefts"), F.ceil(F.col("n") / BLOCK_RIGHT).alias("rights"))
-    rows = members.join(main, "node")
-    here = F.xxhash64("id")
-    left = rows.where("component <> main").withColumn("l", F.pmod(here, F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)))
-    right = rows.withColumn("r", F.pmod(here, F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
-    columns = lambda df, side: df.select(F.xxhash64("node", "l", "r").alias("key"), F.lit(side).alias("side"), "id", "component", "brief")
-    met = columns(left, 0).unionByName(columns(right, 1)).repartition("key").sortWithinPartitions("key", "side")
-    return met.mapInArrow(_blocks(floor, closest), "a long, b long").distinct()

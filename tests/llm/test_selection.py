@@ -59,6 +59,61 @@ def test_chosen_path_equals_brute_force(spark):
     assert neardup.near_duplicates(documents(spark, texts).where("doc_id < 0"), 3, 85).count() == 0
 
 
+def brute_components(texts, k, percent):
+    """Least id reachable over all pairs of sets, by brute force."""
+    ids, sets = [], []
+    for i, t in texts:
+        w = t.lower().split()
+        ids.append(i)
+        sets.append(frozenset(zip(*(w[j:] for j in range(k)), strict=False)))
+    which = {x: n for n, x in enumerate({y for s in sets for y in s})}
+    m = np.zeros((len(sets), len(which)), np.float32)
+    for r, s in enumerate(sets):
+        m[r, [which[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    link = 100 * both >= percent * (n[:, None] + n[None] - both)
+    label = np.array(ids)
+    while True:
+        new = np.where(link, label[None], np.iinfo(np.int64).max).min(1)
+        if (new == label).all():
+            return dict(zip(ids, label.tolist(), strict=True))
+        label = new
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_chosen_path_branches_and_large_nodes(spark, monkeypatch, percent):
+    """Thousands of documents that share passages, and one large group of near copies: nodes branch over several levels,
+    the dense ones meet their pivots and then in blocks."""
+    rng = random.Random(percent)
+    words = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(4000)]
+    noise = lambda n: rng.choices(words, k=n)
+    passages = [noise(25) for _ in range(6)]
+    texts = []
+
+    def vary(base, edits):
+        t = list(base)
+        for _ in range(edits):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return t
+
+    for i in range(2200):
+        texts.append((i, noise(rng.randint(20, 60)) + passages[i % 6] + noise(rng.randint(0, 30))))
+    bases = [noise(110) for _ in range(60)]
+    texts += [(5000 + i, vary(bases[i % 60], rng.randint(0, 8))) for i in range(500)]
+    hot = noise(130)
+    texts += [(9000 + i, vary(hot, rng.randint(0, 9))) for i in range(600)]
+    texts = [(i, " ".join(t)) for i, t in texts]
+    monkeypatch.setattr(neardup, "SMALL", 60)
+    monkeypatch.setattr(neardup, "BLOCK_RIGHT", 64)
+    monkeypatch.setattr(neardup, "BLOCK_LEFT", 32)
+    levels, branch = [], neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda m: levels.append(m.count()) or branch(m))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts), 3, percent).collect()}
+    want = brute_components(texts, 3, percent)
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 2 and levels[0] > 500
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Texts under one doc_id or none are told apart: links of each count, and rows go one by one."""
     rng = random.Random(5)
