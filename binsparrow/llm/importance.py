@@ -22,8 +22,8 @@ from .common import hashed_words, materialize, rolling
 BUCKETS = 1 << 16
 #: Target ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Gumbel keys are compared exactly inside one step of this width.
-STEP = 1 / 256
+#: Value ranges that are counted at once to find the k-th greatest key, and rows that are then ranked in one task.
+RANGES, RANKED = 1024, 50_000
 
 
 def features(texts: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -81,26 +81,38 @@ def gumbel(key: Column, seed: int) -> Column:
 def top_share(rows: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
     """Adds `selected` to the k rows of greatest key (then least ties) without a global sort.
 
-    Counts of keys in steps of STEP find the step that holds the k-th; only that step's rows are ranked.
+    Counts of keys in RANGES ranges of value find the range that holds the k-th, which is cut again until it holds at most RANKED
+    rows, or rows of one key; only those are ranked. `rows` are read several times.
     """
-    step = F.floor(F.col(key) / STEP)
-    above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each step in use
-    steps = rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    edge = steps.where((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).first()
-    if edge is None:
-        return rows.withColumn("selected", F.lit(k > 0))
-    rank = F.row_number().over(Window.partitionBy("_edge").orderBy(F.desc(key), *ties))
-    marked = rows.withColumn("_edge", F.when(step == edge["step"], True))
-    inside = marked.where("_edge").withColumn("selected", rank <= k - edge["before"])
-    outside = marked.where("_edge IS NULL").withColumn("selected", step > edge["step"])
-    return inside.unionByName(outside).drop("_edge")
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None or k <= 0:
+        return rows.withColumn("selected", F.lit(False))
+    inside = F.col(key).between(low, high)
+    while True:
+        width = (high - low) / RANGES
+        n = rows.where(inside).count()
+        if n <= RANKED or width <= 1e-9 * max(1.0, abs(low), abs(high)):
+            break
+        at = F.least(F.lit(RANGES - 1), F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
+        counts = {r["at"]: r for r in rows.where(inside).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
+        left = k - rows.where(F.col(key) > F.lit(high)).count()
+        for i in sorted(counts, reverse=True):
+            if left <= counts[i]["n"]:
+                break
+            left -= counts[i]["n"]
+        low, high = counts[i]["low"], counts[i]["high"]
+        inside = F.col(key).between(low, high)
+    above = rows.where(F.col(key) > F.lit(high)).count()
+    rank = F.row_number().over(Window.orderBy(F.desc(key), *ties))
+    edge = rows.where(inside).withColumn("selected", rank <= k - above)
+    return edge.unionByName(rows.where(~inside).withColumn("selected", F.col(key) > F.lit(high)))
 
 
 def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.5, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
     """doc_id, n_features, log_weight, gumbel_key, selected of every row.
 
-    `target_ids` (doc_id) names the documents of the target text. log_weight is per feature, so that length alone decides
-    nothing, times 100; null and wordless texts weigh nothing and come last (gumbel_key -1e9). `share` of all rows is selected; ties go to the smaller
+    `target_ids` (doc_id) names the documents of the target text. log_weight is the sum of the log ratios over a text's features; null
+    and wordless texts weigh nothing and come last (gumbel_key about -1e9). `share` of all rows is selected; ties go to the smaller
     doc_id. A null doc_id is never a target; repeated rows draw the same noise and are each a row of the result. An
     empty table gives no rows; without target documents the weights are those of an even model.
     """
@@ -111,7 +123,6 @@ def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float = 0
     ratios = feature_ratios(base.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     weights = base.mapInArrow(_weigh(shared, buckets), "doc_id long, n_features long, log_weight double")
-    weights = weights.withColumn("log_weight", 100 * F.col("log_weight") / F.greatest(F.lit(1), F.col("n_features")))
-    key = F.when(F.col("n_features") > 0, F.col("log_weight") + gumbel(F.col("doc_id"), seed)).otherwise(F.lit(-1e9))
+    key = gumbel(F.col("doc_id"), seed) + F.when(F.col("n_features") > 0, F.col("log_weight")).otherwise(F.lit(-1e9))
     rows = materialize(weights.withColumn("gumbel_key", key), "importance-weights")
     return top_share(rows, "gumbel_key", ["doc_id"], round(share * rows.count()))

@@ -367,14 +367,14 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     names = rows.groupBy("doc").agg(F.count_if(~F.col("kept")).alias("gone"), F.count_if("kept").alias("stay")).where("gone > 0")
     names = materialize(names, "neardup-names")
     few = lambda df: F.broadcast(df) if names.count() <= BROADCAST_IDS else df
-    gone, name = few(names.select(F.col("doc").alias("_gone"))), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    out = docs.join(gone, name == F.col("_gone"), "left_anti")
+    gone = few(names.select("doc"))
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    out = held.join(gone, "doc", "left_anti")
     # rows of a name that has dropped rows: those without a set stay, and of each kept set one row
-    some = _with_key(docs.join(gone, name == F.col("_gone"), "left_semi"), k)
-    stay = rows.where("kept").join(names.select("doc"), "doc", "left_semi").select(F.col("doc").alias("_doc"), *[F.col(c).alias(f"_{c}") for c in KEY])
-    same = [F.coalesce(some["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc"), *[some[c] == F.col(f"_{c}") for c in KEY]]
-    first = some.where("n > 0").join(stay, same, "left_semi").groupBy("doc_id", *KEY).agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("row")).select("row.*")
-    return out.unionByName(some.where("n = 0").select(*docs.columns)).unionByName(first)
+    some = _with_key(held.join(gone, "doc", "left_semi"), k)
+    stay = rows.where("kept").join(names.select("doc"), "doc", "left_semi").select("doc", *KEY)
+    first = some.where("n > 0").join(stay, ["doc", *KEY], "left_semi").groupBy("doc", *KEY).agg(F.min_by("row", "text").alias("row"))
+    return out.select("row").unionByName(some.where("n = 0").select("row")).unionByName(first.select("row")).select("row.*")
 
 
 def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_path
 from .tokens import encoder
 
 #: Ways in which the rows of one size and kind are split.
@@ -29,6 +29,7 @@ SALTS = 16
 #: Pieces up to this many tokens are first strung together, so that rounds stay few.
 TINY = 32
 
+PLACES = "item_id long, sequence_id long, offset long"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -82,8 +83,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     rows = items.select(F.col("item_id").alias("id"), F.col("size").cast("int").alias("size"), F.lit(1).alias("kind"))
     rows = rows.withColumn("salt", salt)
-    placed: list[DataFrame] = []
-    stuck = False
+    path, stuck = shared_path(items.sparkSession, "packing-placed"), False
     while True:
         cells, left, volume, room, by_size = _bases(rows)
         if not left:
@@ -105,7 +105,8 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         fits = (F.col("kind") == 1) & (F.coalesce(F.col("gap.kind"), F.lit(1)) == 0)
         taken = (F.col("kind") == 0) & (F.coalesce(F.col("taker.kind"), F.lit(0)) == 1)
         opens = F.col("opens") & ~fits
-        placed.append(swept.where(fits | opens).select(F.col("id").alias("item_id"), F.when(fits, F.col("gap.id")).otherwise(F.col("id")).alias("sequence_id"), F.when(fits, capacity - F.col("gap.size")).otherwise(0).cast("long").alias("offset")))
+        here = F.when(fits, capacity - F.col("gap.size")).otherwise(0).cast("long").alias("offset")
+        swept.where(fits | opens).select(F.col("id").alias("item_id"), F.when(fits, F.col("gap.id")).otherwise(F.col("id")).alias("sequence_id"), here).write.mode("append").parquet(path)
         kept = swept.select(
             "id", "salt",
             F.when(opens, capacity - F.col("size")).when(taken, F.col("size") - F.col("taker.size")).otherwise(F.col("size")).cast("int").alias("size"),
@@ -114,10 +115,9 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         )
         rows = kept.where(~F.col("gone") & ((F.col("kind") == 1) | (F.col("size") >= least))).drop("gone")
         stuck = not opening and swept.where(fits).limit(1).count() == 0
-    out = items.sparkSession.createDataFrame([], "item_id long, sequence_id long, offset long")
-    for p in placed:
-        out = out.unionByName(p)
-    return out
+    none = items.sparkSession.createDataFrame([], PLACES)
+    none.write.mode("append").parquet(path)
+    return items.sparkSession.read.schema(PLACES).parquet(path)
 
 
 def _bundled(pieces: DataFrame, tiny: int) -> tuple[DataFrame, DataFrame]:

@@ -17,17 +17,28 @@ from .common import materialize
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
+#: Shards that share regions and racks; each beyond them has a region of its own.
+BASE_SHARDS = 8
+
+
 def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> Tree:
+    """The tree of a shard count, however the count was reached: even_tree(n + 1) is grown_tree(even_tree(n)) from BASE_SHARDS on.
+
+    Fewer than BASE_SHARDS shards have a region each, so that growth moves rows only into the new shard there as well.
+    """
     tree: Tree = {}
     for s in range(shards):
-        region, rack = s // (per_rack * racks), s // per_rack % racks
-        tree.setdefault(f"region{region}", {}).setdefault(f"region{region}/rack{rack}", {})[s] = 1.0
+        if shards < BASE_SHARDS or s >= BASE_SHARDS:
+            tree = grown_tree(tree)
+        else:
+            region, rack = s // (per_rack * racks), s // per_rack % racks
+            tree.setdefault(f"region{region}", {}).setdefault(f"region{region}/rack{rack}", {})[s] = 1.0
     return tree
 
 
 def grown_tree(tree: Tree, weight: float = 1.0) -> Tree:
     """The tree with one more shard, in a region of its own, so that no other subtree's weight changes."""
-    new = 1 + max(s for racks in tree.values() for shards in racks.values() for s in shards)
+    new = 1 + max((s for racks in tree.values() for shards in racks.values() for s in shards), default=-1)
     return tree | {f"region-of-{new}": {f"region-of-{new}/rack0": {new: weight}}}
 
 

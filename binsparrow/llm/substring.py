@@ -38,8 +38,9 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def _packed_rows(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int, side: int, dtype: str) -> Iterator[dict]:
-    """A row for each bucket; entries keep the order of (document, place). docs: an id for each entry."""
+def _packed_rows(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int, side: int, dtype: str, values: np.ndarray | None = None) -> Iterator[dict]:
+    """A row for each bucket; entries keep the order of (document, place). docs: an id for each entry. values: in place of the hashes."""
+    values = hashes if values is None else values
     bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -50,7 +51,7 @@ def _packed_rows(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, bucke
         step = p.astype(np.uint32)
         step[1:] -= p[:-1].astype(np.uint32)
         step[new] = p[new]
-        yield {"bucket": int(b), "side": side, "docs": _pack(d[new]), "counts": _pack(np.diff(np.append(new, len(d))).astype("<u4")), "places": _pack(step), "hashes": _pack(hashes[at].astype(dtype))}
+        yield {"bucket": int(b), "side": side, "docs": _pack(d[new]), "counts": _pack(np.diff(np.append(new, len(d))).astype("<u4")), "places": _pack(step), "hashes": _pack(values[at].astype(dtype))}
 
 
 def _entries(row: dict, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +98,17 @@ def _windows(window: int, buckets: int):
     return run
 
 
-_HITS = pa.schema([("id", pa.int64()), ("places", pa.binary())])
+_HITS = pa.schema([("id", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary())])
 
 
-def _reply(docs: np.ndarray, places: np.ndarray, buckets: int) -> list[dict]:
+def _reply(docs: np.ndarray, places: np.ndarray, buckets: int, hashes: np.ndarray | None = None) -> list[dict]:
     """Places of documents, packed for their way back in as many groups of documents as there are buckets."""
     if not len(docs):
         return []
     group = mix(docs.astype(np.int64).view(np.uint64)) << np.uint64(32)  # the packing deals by the high half
-    rows = [*_packed_rows(group, docs, places, buckets, 0, "<u4")]
-    for r in rows:
-        r["hashes"] = b""
-    return rows
+    if hashes is None:
+        return [r | {"hashes": b""} for r in _packed_rows(group, docs, places, buckets, 0, "<u4")]
+    return [*_packed_rows(group, docs, places, buckets, 0, "<u8", hashes)]
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +118,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         if not held:
             return _batch([], _HITS)
-        d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        d, p, h = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((p, d))
-        d, p = d[order], p[order].astype("<u4")
+        d, p, h = d[order], p[order].astype("<u4"), h[order] if len(h) else h
         cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
-        places = [p[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(places, pa.binary())], schema=_HITS)
+        places, hashes = ([x[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)] for x in (p, h))
+        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(places, pa.binary()), pa.array(hashes, pa.binary())], schema=_HITS)
 
     for b in batches:
         for row in b.to_pylist():
@@ -131,7 +131,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield close()
                 group, held = row["bucket"], []
             _, d, p = _entries(row, None)
-            held.append((d, p))
+            held.append((d, p, _unpack(row["hashes"], "<u8") if row["hashes"] else np.zeros(0, "<u8")))
     yield close()
 
 
@@ -220,12 +220,12 @@ def _extend(window: int, buckets: int):
 
 
 def _repeats(buckets: int):
-    """Rows sorted by bucket: runs that a smaller document has too."""
+    """Rows sorted by bucket: runs that a smaller document has too. Of each run only the least document so far is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, fresh = None, [], 0
 
-        def close() -> list[dict]:
+        def settle() -> list[dict]:
             if not held:
                 return []
             h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -233,19 +233,25 @@ def _repeats(buckets: int):
             h, d, p = h[order], d[order], p[order]
             _, first, n = np.unique(h, return_index=True, return_counts=True)
             later = d > np.repeat(d[first], n)
-            d, p = d[later], p[later]
+            held[:] = [(h[~later], d[~later], p[~later])]
+            h, d, p = h[later], d[later], p[later]
             order = np.lexsort((p, d))
-            return _reply(d[order], p[order], buckets)
+            return _reply(d[order], p[order], buckets, h[order])
 
         for b in batches:
             out: list[dict] = []
             for row in b.to_pylist():
                 if row["bucket"] != bucket:
-                    out += close()
-                    bucket, held = row["bucket"], []
+                    out += settle()
+                    bucket, fresh = row["bucket"], 0
+                    held.clear()
                 held.append(_entries(row, "<u8"))
+                fresh += len(held[-1][0])
+                if fresh > BUCKET_WINDOWS // 4:
+                    out += settle()
+                    fresh = 0
             yield _batch(out, _PACKED)
-        yield _batch(close(), _PACKED)
+        yield _batch(settle(), _PACKED)
 
     return run
 
@@ -255,17 +261,19 @@ def _cut(window: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = b.column("places").to_pylist()
+            found, known = b.column("places").to_pylist(), b.column("hashes").to_pylist()
             for w in hashed_words(b.column("text")):
                 counts, removed, spans, left = [], [], [], []
+                whole = rolling(w.hashes, window) if any(found[w.lo : w.hi]) else None
                 raw = w.data.tobytes()
                 for i in range(w.lo, w.hi):
                     s = w.of(i)
                     n = s.stop - s.start
                     marks = np.zeros(n + 1, np.int32)
-                    for packed in found[i] or ():
-                        p = np.frombuffer(packed, "<u4").astype(np.int64)
-                        p = p[p + window <= n]
+                    for packed, run_hashes in zip(found[i] or (), known[i] or (), strict=True):
+                        p, h = np.frombuffer(packed, "<u4").astype(np.int64), np.frombuffer(run_hashes, "<u8")
+                        p, h = p[p + window <= n], h[p + window <= n]
+                        p = p[whole[s.start + p] == h]  # other rows of this doc_id have places too
                         np.add.at(marks, p, 1)
                         np.add.at(marks, p + window, -1)
                     gone = np.cumsum(marks[:-1]) > 0
@@ -296,7 +304,7 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
     buckets = max(1, text_bytes(docs) // 6 // BUCKET_WINDOWS)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     dealt = lambda rows, *order: rows.repartition("bucket").sortWithinPartitions("bucket", *order)
-    replies = lambda rows: dealt(rows).mapInArrow(_gather, "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("places"))
+    replies = lambda rows: dealt(rows).mapInArrow(_gather, "id long, places binary, hashes binary").groupBy("id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"))
     hits = replies(dealt(base.mapInArrow(_windows(window, buckets), PACKED), "side").mapInArrow(_probe(buckets), PACKED))
     near = base.join(hits, "id", "left").where("places IS NOT NULL").select("id", "text", "places")
     return replies(dealt(near.mapInArrow(_extend(window, buckets), PACKED)).mapInArrow(_repeats(buckets), PACKED))
@@ -310,7 +318,7 @@ def _judged(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     met = base.join(_found(docs, window), "id", "left")
     if not texts:
         met = met.withColumn("rest", F.struct(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")))
-    met = met.select("text", "places", "rest")
+    met = met.select("text", "places", "hashes", "rest")
     return met.mapInArrow(_cut(window, texts), f"rest {met.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, left string")
 
 
@@ -319,7 +327,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word goes if some window of `window` words over it also starts in a document with a smaller
     doc_id; windows are judged on the input. Null texts have no words. A null doc_id is larger than all others; rows that
-    repeat a doc_id are no smaller than each other. Other columns are ignored; an empty table gives no rows.
+    repeat a doc_id are no smaller than each other. Words and windows are equal if their 64-bit hashes are. Other columns are ignored; an empty table gives no rows.
     """
     return _judged(docs, window, texts=False).select("rest.doc_id", "n_words", "n_removed", "spans", F.col("left").alias("kept_sha256"))
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,50 +28,25 @@ NO_DOC = np.iinfo(np.int64).min
 PARTITION_BYTES = 32 << 20
 
 
-def _encode(tokenizer: str, dtype: str, end_id: int):
-    end = np.array([end_id], dtype).tobytes()
+def _write(path: str, tokenizer: str, dtype: str, end_id: int):
+    end, width = np.array([end_id], dtype).tobytes(), int(dtype[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, dtype)
-        for b in batches:
-            ids = e.encode_batch(b.column("text"))
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                here = pa.array([i + end for i in islice(ids, part.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("pid"), here], ["doc_id", "pid", "ids"])
-
-    return run
-
-
-def _write(path: str, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (pid, doc_id): one open file at a time."""
-        made, current = [], None
-        system, at = open_path(path)
-        attempt = TaskContext.get().taskAttemptId()
-
-        def close() -> None:
-            pid, out, part, docs, lengths = current
-            out.close()
-            system.move(part, f"{at}/ids-{pid:06d}.bin")
-            put_file(f"{path}/docs-{pid:06d}.bin", lambda o: o.write(np.array(docs, "<i8").tobytes()))
-            put_file(f"{path}/lengths-{pid:06d}.bin", lambda o: o.write(np.array(lengths, "<i8").tobytes()))
-            made.append((pid, len(docs), int(sum(lengths))))
-
-        for b in batches:
-            for doc, pid, ids in zip(b.column("doc_id").to_pylist(), b.column("pid").to_pylist(), b.column("ids"), strict=True):
-                if current is None or current[0] != pid:
-                    if current is not None:
-                        close()
-                    part = f"{at}/ids-{pid:06d}.bin.{attempt}.part"
-                    current = (pid, system.open_output_stream(part, buffer_size=1 << 20), part, [], [])
-                data = ids.as_buffer()
-                current[1].write(data)
-                current[3].append(NO_DOC if doc is None else doc)
-                current[4].append(data.size // width)
-        if current is not None:
-            close()
-        yield pa.RecordBatch.from_pydict({"pid": pa.array([m[0] for m in made], pa.int32()), "n_docs": pa.array([m[1] for m in made], pa.int64()), "n_tokens": pa.array([m[2] for m in made], pa.int64())})
+        """Rows come sorted by doc_id, a range of them in each partition: one file a task."""
+        e, pid, docs, lengths = encoder(tokenizer, dtype), TaskContext.get().partitionId(), [], []
+
+        def write(out) -> None:
+            for b in batches:
+                docs.append(b.column("doc_id").fill_null(NO_DOC).to_numpy())
+                for ids in e.encode_batch(b.column("text")):
+                    out.write(ids + end)
+                    lengths.append(len(ids) // width + 1)
+
+        put_file(f"{path}/ids-{pid:06d}.bin", write)
+        put_file(f"{path}/docs-{pid:06d}.bin", lambda o: o.write(np.concatenate([np.zeros(0, "<i8"), *docs]).astype("<i8").tobytes()))
+        put_file(f"{path}/lengths-{pid:06d}.bin", lambda o: o.write(np.array(lengths, "<i8").tobytes()))
+        made = [[pid], [len(lengths)], [sum(lengths)]] if lengths else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64())], ["pid", "n_docs", "n_tokens"])
 
     return run
 
@@ -96,21 +70,17 @@ def _place(path: str, base: dict[int, int]):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int = 1 << 16) -> dict:
     """Encode (doc_id, text) and write the files; returns the manifest. Ids take two bytes if the vocabulary allows.
 
-    Texts are encoded where they are read; only their ids are shuffled, once, to ranges of doc_id. The bounds come
-    from a quantile sketch of doc_id, and each range's place in the corpus from prefix sums over the ranges.
+    Texts are shuffled once, to ranges of doc_id, each a task; rows that repeat a doc_id may be dealt to several. Each range's place in the
+    corpus comes from prefix sums over the ranges.
     """
     spark = docs.sparkSession
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = max(1, -(-text_bytes(docs) // PARTITION_BYTES))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    pid = F.lit(0) + (F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0))
-    placed = docs.select("doc_id", "text", F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(pid), F.lit(0)).cast("int").alias("pid"))
-    ids = placed.mapInArrow(_encode(tokenizer, dtype, end_id), "doc_id long, pid int, ids binary")
     system, at = open_path(path)
     system.create_dir(at, recursive=True)
-    ranges = ids.repartition(len(bounds) + 1, "pid").sortWithinPartitions("pid", "doc_id")
-    made = sorted(map(tuple, ranges.mapInArrow(_write(path, int(dtype[-1])), "pid int, n_docs long, n_tokens long").collect()))
+    ranges = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    made = sorted(map(tuple, ranges.select("doc_id", "text").mapInArrow(_write(path, tokenizer, dtype, end_id), "pid int, n_docs long, n_tokens long").collect()))
     base, total = {}, 0
     for p, _, tokens in made:
         base[p] = total

@@ -37,15 +37,15 @@ class Encoder:
     Byte-level BPE of this kind never merges across a single space that stands between two other
     characters: no pre-token holds such a space but as its first character. So a text is cut there,
     the library encodes every distinct chunk, and the ids are strung together. Spaces beside other white
-    space are no cut. Special tokens' strings in a text are ordinary text.
+    space are no cut. A text that holds the string of an added token goes to the library whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
         self.form = "<%d" + {"<u2": "H", "<u4": "I"}[dtype]
         self.bare, self.spaced = _Chunks(self, ""), _Chunks(self, " ")
@@ -54,13 +54,19 @@ class Encoder:
         if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one pre-token: straight to the model
             ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_BYTE_LETTERS))]
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return self.whole(chunk)
         return struct.pack(self.form % len(ids), *ids)
 
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian integers of the dtype; none for null."""
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self.whole(text)
         for known in (self.bare, self.spaced):
             if len(known) > KNOWN_CHUNKS:
                 known.clear()
@@ -83,7 +89,10 @@ class Encoder:
     def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
         """encode() of every text of a batch, null as empty; distinct chunks are found and strung together by column."""
         texts = texts.cast(pa.string()).fill_null("")
-        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for x in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = odd.to_numpy(zero_copy_only=False)
         plain = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         if isinstance(plain, pa.ChunkedArray):
             plain = plain.combine_chunks()

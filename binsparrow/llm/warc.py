@@ -41,16 +41,27 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     before it (by at, then record_id) if every validator it has (etag, else last_modified, else digest) agrees:
     columns resolved_id, outcome (`full`, `revisit`, `mismatch`, `orphan`, `other`), merged_headers (the full
     response's headers, with the permitted ones of the revisit over them). A null URL is no key: such revisits are orphans. Null
-    times come before all others; repeated rows are records of their own. An empty table gives no rows.
+    times come before all others; repeated rows are records of their own. Other columns stay; those named like a new one are replaced.
+    An empty table gives no rows.
+
+    Rows of one URL are worked on in stretches of time, of about STRETCH rows of the whole table if times are spread evenly; rows
+    without a time are cut by record_id. Rows of one URL at one instant are one stretch.
     """
-    rows = captures.withColumn("canonical", canonical_url(F.col("url"))).withColumn("is_full", (F.col("status") == 200) & F.col("url").isNotNull())
+    source = captures.columns
+    rows = captures.select(F.struct(*[F.col(c) for c in source]).alias("capture"), "record_id", "url", "at", "status", "etag", "last_modified", "digest", "headers")
+    rows = rows.withColumn("canonical", canonical_url(F.col("url"))).withColumn("is_full", F.coalesce(F.col("status") == 200, F.lit(False)))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "warc-captures")
-    span = rows.groupBy("canonical").agg(F.count("*").alias("n"), F.min("at").alias("since"), F.max("at").alias("until"))
-    span = span.withColumn("step", F.greatest(F.lit(1.0), (F.col("until") - F.col("since") + 1) / F.ceil(F.col("n") / STRETCH)))
-    keys = rows.select("row", "record_id", "canonical", "at", "status", "etag", "last_modified", "digest", "is_full")
-    keys = keys.where("canonical IS NOT NULL").join(span.select("canonical", "since", "step"), "canonical")
-    keys = keys.withColumn("stretch", F.coalesce(F.floor((F.col("at") - F.col("since")) / F.col("step")), F.lit(-1)))
+    keys = rows.select("row", "record_id", "canonical", "at", "status", "etag", "last_modified", "digest", "is_full").where("canonical IS NOT NULL")
+    some = keys.agg(F.count("*").alias("n"), *[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in ("at", "record_id") for f in (F.min, F.max)]).first()
+    parts = max(1, -(-some["n"] // STRETCH))
+
+    def part(c: str) -> Column:
+        low, high = (some[f"{f}_{c}"] or 0.0 for f in ("min", "max"))
+        return F.floor((F.col(c) - F.lit(low)) / F.lit(max(1.0, (high - low + 1) / parts)))
+
+    timeless = F.coalesce(part("record_id"), F.lit(-1)) - F.lit(parts + 1)
+    keys = keys.withColumn("stretch", F.coalesce(part("at"), timeless))
     order = [F.col("at").asc_nulls_first(), F.col("record_id"), F.col("row")]
     full = F.struct("at", "record_id", F.col("row").alias("full_row"), F.col("etag").alias("full_etag"), F.col("last_modified").alias("full_modified"), F.col("digest").alias("full_digest"))
     inside = Window.partitionBy("canonical", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +84,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     kept = F.map_filter(F.col("full_headers"), lambda k, v: ~F.map_contains_key(mine, k))
     outcome = F.when(F.col("is_full"), "full").when(F.col("status") == 304, F.coalesce("found", F.lit("orphan"))).otherwise("other")
     return out.select(
-        *[c for c in captures.columns], "canonical", outcome.alias("outcome"),
+        *[F.col("capture")[c].alias(c) for c in source if c not in ("canonical", "outcome", "resolved_id", "merged_headers")], "canonical", outcome.alias("outcome"),
         F.when(F.col("is_full"), F.col("record_id")).otherwise(F.col("resolved")).alias("resolved_id"),
         F.when(F.col("full_row").isNotNull(), F.map_concat(kept, mine)).otherwise(F.col("headers")).alias("merged_headers"),
     )

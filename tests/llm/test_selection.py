@@ -309,7 +309,6 @@ def test_packing(spark):
 def test_token_files(spark):
     texts = [(7, "a b\nc"), (3, None), (5, "  x  y "), (-2, "it's <|endoftext|> end"), (None, ""), (4, "word, " * 4000)]
     t = tokenizers.Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     got = token_files.round_trip(documents(spark, texts), BPE).collect()
     start = 0
     for r, (i, text) in zip(sorted(got, key=lambda r: r.start), sorted(texts, key=lambda x: -1 << 60 if x[0] is None else x[0]), strict=True):
