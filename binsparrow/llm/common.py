@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,18 @@ def map_file(path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+_CACHE: list = []
+
+
+def only_cache(owner: str, drop) -> None:
+    """Say what a worker process keeps between tasks. What another operator has kept before is dropped, as processes outlive operators."""
+    if not _CACHE or _CACHE[0] != owner:
+        if _CACHE:
+            _CACHE[1]()
+            pa.default_memory_pool().release_unused()
+        _CACHE[:] = owner, drop
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64-bit integers (splitmix64's)."""
     x = x ^ (x >> np.uint64(30))
@@ -147,8 +160,7 @@ def hashed_words(texts, lower: bool = False):
 
     A word's hash is a 64-bit polynomial of random byte codes, found for all words at once from one running sum.
     """
-    import pyarrow as pa
-
+    only_cache("words", lambda: None)
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)

@@ -2,10 +2,12 @@
 
 Each curve projects the vectors to DIMS random directions, shifts them, and orders them by Hilbert key. The order
 is cut into BLOCKS ranges of equal count; a query meets the rows of its own range and REACH ranges to either side, is scored
-there on the original vectors, and keeps its best. The bests of all curves are merged and ranked again.
+there on the original vectors, and keeps its best. The bests of all curves are merged, scored again in one fixed order of
+summation, and ranked.
 
 The windows are shares of the table, not constants: for vectors without any structure, as good as uniform on the sphere,
-a fixed number of key neighbours finds nothing, and only a share of the table per curve keeps the recall.
+a fixed number of key neighbours finds nothing, and only a share of the table per curve keeps the recall. Many curves of narrow windows
+find more than few of wide ones: all windows of a query together are CURVES * (2 * REACH + 1) / BLOCKS of the table, 0.98.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CURVES, DIMS, BITS = 10, 6, 7
-BLOCKS, REACH = 16, 1
+CURVES, DIMS, BITS = 18, 6, 7
+BLOCKS, REACH = 128, 3
+#: Best rows of a tile beyond k that are scored again.
+SPARE = 4
 #: Sides of one comparison: rows and queries.
 TILE_ROWS, TILE_QUERIES = 8192, 4096
 #: Ways in which equal vectors are split before their least ids are found.
@@ -53,15 +57,15 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _vectors(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 1))
 
 
-def _keys(size: int, spread: float, seed: int):
+def _keys(size: int, spread: float, seed: int, curves: int):
     """Adds each curve's key: the Hilbert position above a hash that splits equal positions."""
     rng = np.random.default_rng(seed)
     dims = min(DIMS, size)
-    frames = [np.linalg.qr(rng.standard_normal((size, dims)))[0] for _ in range(CURVES)]
-    shifts = rng.uniform(0, 1, (CURVES, dims))
+    frames = [np.linalg.qr(rng.standard_normal((size, dims)))[0] for _ in range(curves)]
+    shifts = rng.uniform(0, 1, (curves, dims))
     top = (1 << BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,26 +151,31 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, seed: int = 11) -> D
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == shape["n"])
     some = materialize(_least_ids(rows, k + 1), "curves-ids")
+    total = some.where("id = rep").count()
+    blocks = max(1, min(BLOCKS, total // k))
+    curves = min(CURVES, blocks // (2 * REACH + 1) + 5) if blocks > REACH + 1 else 1  # all windows together: a table and, below BLOCKS, 35 / blocks more
     tie = F.pmod(F.xxhash64("rep"), F.lit(1 << 16))
     distinct = some.where("id = rep").select("rep", "vec", tie.alias("tie"))
-    keyed = materialize(distinct.mapInArrow(_keys(shape["n"], (shape["square"] / shape["n"]) ** 0.5, seed), "rep long, vec array<double>, keys array<long>"), "curves-keys")
-    total = keyed.count()
+    keyed = materialize(distinct.mapInArrow(_keys(shape["n"], (shape["square"] / shape["n"]) ** 0.5, seed, curves), "rep long, vec array<double>, keys array<long>"), "curves-keys")
     # a query for each distinct vector that some query has
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").join(distinct.select("rep", "vec"), "vec").select("query_id", F.col("rep").alias("query"))
-    queries = keyed.join(asked.select(F.col("query").alias("rep")).distinct(), "rep")
-    blocks = max(1, min(BLOCKS, total // (2 * k)))
-    bounds = keyed.select(*[F.col("keys")[c].alias(f"c{c}") for c in range(CURVES)]).approxQuantile([f"c{c}" for c in range(CURVES)], [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else [[]] * CURVES
+    queries = materialize(keyed.join(asked.select(F.col("query").alias("rep")).distinct(), "rep"), "curves-queries")
+    bounds = keyed.select(*[F.col("keys")[c].alias(f"c{c}") for c in range(curves)]).approxQuantile([f"c{c}" for c in range(curves)], [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else [[]] * curves
     limits = F.array(*[F.array(*[F.lit(int(x)) for x in b]).cast("array<long>") for b in bounds])
     placed = lambda df: df.select("rep", "vec", F.posexplode("keys").alias("curve", "key")).withColumn("block", F.size(F.filter(limits[F.col("curve")], lambda b: b <= F.col("key"))))
-    row_parts, query_parts = -(-total // (blocks * TILE_ROWS)), -(-total // (every * blocks * TILE_QUERIES))
+    row_parts, query_parts = -(-total // (blocks * TILE_ROWS)), -(-queries.count() * (2 * REACH + 1) // (blocks * TILE_QUERIES))
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(n))
     right = placed(keyed).withColumn("r", part(row_parts)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).withColumn("side", F.lit(1))
     near = placed(queries).withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - REACH), F.least(F.lit(blocks - 1), F.col("block") + REACH))))
     left = near.withColumn("q", part(query_parts)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_parts - 1)))).withColumn("side", F.lit(0))
-    tile = lambda df: df.select(F.xxhash64(*[F.col(c).cast("long") for c in ("curve", "block", "r", "q")]).alias("tile"), "side", "rep", "vec")
-    met = tile(left).unionByName(tile(right)).repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(k + 1), "query long, rep long, score double")
+    given = table.schema["embedding"].dataType.elementType.simpleString()
+    form = F.col("vec").cast("array<float>" if given == "float" else "array<double>")  # floats lose nothing as floats
+    tile = lambda df: df.select(F.xxhash64(*[F.col(c).cast("long") for c in ("curve", "block", "r", "q")]).alias("tile"), "side", "rep", form.alias("vec"))
+    met = tile(left).unionByName(tile(right)).repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(k + 1 + SPARE), "query long, rep long, score double")
     best = met.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    out = asked.join(best, "query").join(some.select("id", "rep"), "rep").where("id <> query_id")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1 + SPARE)
+    pair = best.select("query", "rep").join(queries.select(F.col("rep").alias("query"), F.col("vec").alias("a")), "query").join(distinct.select("rep", F.col("vec").alias("b")), "rep")
+    exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
+    out = asked.join(pair.select("query", "rep", exact.alias("score")), "query").join(some.select("id", "rep"), "rep").where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

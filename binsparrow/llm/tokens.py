@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import only_cache
+
 _BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
 _ANY_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
 _ODD_SPACE = rf"{_ANY_SPACE} | {_ANY_SPACE}|\A | \z"
@@ -27,6 +29,8 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
 KNOWN_CHUNKS = 1_000_000
+#: Text bytes that are encoded at once; a longer text goes whole.
+SLICE_BYTES = 32 << 20
 #: Words whose ids are strung together at once.
 SLICE_WORDS = 500_000
 
@@ -87,8 +91,17 @@ class Encoder:
                 self.spaced[stem] = data[width * i : width * k]
 
     def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
-        """encode() of every text of a batch, null as empty; distinct chunks are found and strung together by column."""
-        texts = texts.cast(pa.string()).fill_null("")
+        """encode() of every text of a batch, null as empty, in slices of about SLICE_BYTES of text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+            yield from self._encode_slice(texts.slice(at, end - at))
+            at = end
+
+    def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
+        """Distinct chunks are found and strung together by column."""
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
         for x in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, x))
@@ -145,6 +158,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One encoder for each worker process, so that later tasks reuse its chunks."""
+    only_cache("tokens", _ENCODERS.clear)
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = Encoder(path, dtype)
     return _ENCODERS[path, dtype]

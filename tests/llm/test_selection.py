@@ -1,11 +1,13 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from binsparrow.llm import curves, decontam, importance, langid, neardup, packing, sharding, substring, token_files, warc
@@ -154,6 +156,10 @@ def test_block_anchors_equal_brute_force(spark):
         r = got[i]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
         assert sum(s.stop - s.start for s in r.spans) == sum(gone)
+    # rows that repeat a doc_id are judged each by its own text; very long texts
+    long = [f"q{i}" for i in range(120_000)]
+    twins = documents(spark, [(1, " ".join(shared[3])), (5, " ".join(["x"] * 3 + shared[3])), (5, "y " * 200), (5, " ".join(shared[3][:60])), (7, " ".join(long)), (8, " ".join(["a"] + long[5:] + ["b"]))])
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.repeated_passages(twins).collect()) == Counter([(1, 130, 0), (5, 133, 130), (5, 200, 0), (5, 60, 60), (7, 120_000, 0), (8, 119_997, 119_995)])
     cut = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
     assert all(len(cut[i].text.split()) == got[i].n_words - got[i].n_removed for i in cut) and None not in cut
     assert substring.repeated_passages(docs.where("doc_id < 0")).count() == 0
@@ -245,15 +251,37 @@ def test_language_models_keep_every_ngram(spark):
         assert abs(got[d] - want) < 1e-4
 
 
-def test_importance(spark):
+def test_importance(spark, monkeypatch):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choices(["good", "fine", "well", "the"] if i % 2 else ["bad", "spam", "junk", "the"], k=30))) for i in range(200)] + [(900, None), (901, "")]
     docs, target = documents(spark, texts), spark.createDataFrame([(i,) for i in range(1, 60, 2)] + [(None,)], "doc_id long")
     rows = importance.importance_resample(docs, target, 0.4).collect()
     chosen = {r.doc_id for r in rows if r.selected}
     assert len(rows) == 202 and len(chosen) == round(0.4 * 202) and sum(i % 2 for i in chosen) > 75
+    # by brute force: add-one models of words and pairs, summed log ratios, Gumbel noise, the greatest
+    known, counts, bags = set(range(1, 60, 2)), [Counter(), Counter()], {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        bags[i] = Counter(w + list(zip(w, w[1:], strict=False)))
+        counts[1] += bags[i]
+        if i in known:
+            counts[0] += bags[i]
+    total = [sum(c.values()) + importance.BUCKETS for c in counts]
+    ratio = {x: math.log((counts[0][x] + 1) / total[0]) - math.log((counts[1][x] + 1) / total[1]) for x in counts[1]}
+    for r in rows:
+        assert abs(r.log_weight - sum(n * ratio[x] for x, n in bags[r.doc_id].items())) < 1e-6
+        assert r.n_features == sum(bags[r.doc_id].values())
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)) >> 11
+        noise = -math.log(-math.log((h + 0.5) / (1 << 53)))
+        assert abs(r.gumbel_key - (noise + (r.log_weight if r.n_features else -1e9))) < 1e-6
     assert chosen == {r.doc_id for r in sorted(rows, key=lambda r: (-r.gumbel_key, r.doc_id))[: len(chosen)]}
     assert importance.importance_resample(docs.where("doc_id < 0"), target).count() == 0
+    same = importance.importance_resample(documents(spark, [(1, "a b")] * 5 + [(2, "zz " * 50_000), (None, None)]), target, 0.5).collect()
+    assert len(same) == 7 and sum(r.selected for r in same) == 4  # round half to even
+    keys = spark.range(5000).selectExpr("id", "CAST(id % 7 AS double) AS key")
+    monkeypatch.setattr(importance, "RANKED", 100)
+    top = importance.top_share(keys, "key", ["id"], 1500).where("selected").collect()
+    assert {r.id for r in top} == {i for _, i in sorted((-(i % 7), i) for i in range(5000))[:1500]}
 
 
 def test_curves_recall_and_edges(spark):
@@ -279,9 +307,23 @@ def test_curves_recall_and_edges(spark):
     assert len(np.unique(curves.hilbert_keys(np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3), 3))) == 512
 
 
+@pytest.mark.parametrize("n", [150, 900, 5000])
+def test_curves_recall_at_sizes(spark, n):
+    """Vectors without any structure: recall of at least 0.9 at every size, from windows of about one table a query."""
+    x = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in curves.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(score, -np.inf)
+    hits = sum(len(found & set(np.argsort(-score[q])[:20].tolist())) for q, found in got.items())
+    assert len(got) == -(-n // 20) and hits >= 0.9 * 20 * len(got)
+
+
 def test_packing(spark):
     rng = random.Random(6)
-    texts = [(i, "tok " * rng.choice([1, 2, 5, 9, 30, 31, 33, 70, 200])) for i in range(120)] + [(900, None), (901, ""), (None, "a"), (5, "a"), (5, "a")]
+    texts = [(i, "tok " * rng.choice([1, 2, 5, 9, 30, 31, 33, 70, 200])) for i in range(120)] + [(900, None), (901, ""), (None, "a"), (5, "a"), (5, "a"), (77777, "x <|endoftext|> y")]
     rows = packing.pack_documents(documents(spark, texts), BPE, capacity=64).collect()
     sequences, lengths = {}, {}
     for r in rows:
@@ -293,6 +335,13 @@ def test_packing(spark):
             at += length
         assert at <= 64
     encode = tokenizers.Tokenizer.from_file(BPE).encode
+    once = Counter(i for i, _ in texts)
+    for i, t in texts:  # pieces by the library: only the first may be short, and each has its own ids
+        ids = np.array([*encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        cuts = [0, *range(len(ids) % 64 or 64, len(ids) + 1, 64)]
+        if once[i] == 1:
+            assert mine == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     want = sorted(len(encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
     gaps, n = [], 0
     for length in sorted((r.length for r in rows), reverse=True):
@@ -327,6 +376,22 @@ def test_sharding(spark):
     assert all(r.grown_shard in (r.shard, 8) for r in rows) and 200 < sum(r.grown_shard == 8 for r in rows) < 480
     assert next((r.size, r.text_crc32) for r in rows if r.doc_id == 9999) == (3, zlib.crc32("é".encode()))
     assert next((r.size, r.text_crc32) for r in rows if r.doc_id is None) == (1, 0)
+    assert sharding.even_tree(10) == sharding.grown_tree(sharding.grown_tree(sharding.even_tree(8)))
+    assert sharding.shard_documents(documents(spark, []), sharding.even_tree(8)).count() == 0
+
+    def descend(node, key):  # by brute force: the least weighted draw of each level
+        weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+
+        def draw(name):
+            h = xxhash.xxh64_intdigest(str(name).encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42)) >> 11
+            return -math.log((h + 0.5) / (1 << 53)) / weight(node[name])
+
+        name = next(iter(node)) if len(node) == 1 else min(node, key=draw)
+        return descend(node[name], key) if isinstance(node[name], dict) else name
+
+    for r in rows[:400]:
+        if r.doc_id is not None:
+            assert (r.shard, r.grown_shard) == (descend(sharding.even_tree(8), r.doc_id), descend(sharding.even_tree(9), r.doc_id))
     tree = sharding.even_tree(8)
     heavy = {k: {r: {s: w * (3 if s == 0 else 1) for s, w in shards.items()} for r, shards in racks.items()} for k, racks in tree.items()}
     moved = [r for r in sharding.shard_documents(documents(spark, texts), tree, heavy).collect() if r.shard != r.grown_shard]
@@ -346,6 +411,11 @@ def test_spaced_seeds(spark):
     assert got == {(d, i) for d in (1, 2, 5, None) for i in (0, 3)}
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {3, 4, 6, 7, 8}
     assert decontam.decontaminate(docs, bench.where("item_id < 0")).count() == len(texts) and decontam.contaminated(docs.where("doc_id < 0"), bench).count() == 0
+    short = spark.createDataFrame([(7, "one two, Three four five"), (None, "one two three four five"), (8, "one two three four")], "item_id long, text string")
+    few = documents(spark, [(1, "zero One two three FOUR five six"), (2, "one two three four"), (3, None), (4, "one two three four five")])
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(few, short).collect()} == {(d, i) for d in (1, 4) for i in (7, None)}
+    clash = few.withColumn("_bad", F.lit(1)).withColumn("words", F.lit(2))
+    assert {(r.doc_id, r._bad, r.words) for r in decontam.decontaminate(clash, short).collect()} == {(2, 1, 2), (3, 1, 2)}
     report = {(r.doc_id, r.contaminated, r.n_items, r.first_item) for r in decontam.contamination_report(docs, bench).collect()}
     assert (1, True, 2, 0) in report and (3, False, 0, None) in report
 
@@ -367,5 +437,10 @@ def test_revisits(spark):
     assert {k: (r.outcome, r.resolved_id) for k, r in got.items()} == {1: ("full", 1), 2: ("mismatch", None), 3: ("full", 3), 4: ("orphan", None), 5: ("revisit", 3), 6: ("orphan", None), 7: ("other", None), 8: ("revisit", 3)}
     assert got[5].merged_headers == {"etag": "e2", "date": "5"}
     assert warc.resolve_revisits(df.where("record_id < 0")).count() == 0
+    clash = df.selectExpr("*", "'mine' AS canonical", "7L AS row", "'x' AS is_full", "1 AS stretch")
+    again = {r.record_id: r for r in warc.resolve_revisits(clash).collect()}
+    assert all((r.outcome, r.resolved_id, r.canonical) == (got[k].outcome, got[k].resolved_id, got[k].canonical) and (r.row, r.is_full, r.stretch) == (7, "x", 1) for k, r in again.items())
+    lost = spark.createDataFrame([(1, None, 5, 200, None, None, None, None), (2, "http://a/", None, 200, "e", None, None, None), (3, "http://a/", None, 304, "e", None, None, None)], warc.CAPTURE)
+    assert {r.record_id: (r.outcome, r.resolved_id) for r in warc.resolve_revisits(lost).collect()} == {1: ("full", 1), 2: ("full", 2), 3: ("revisit", 2)}
     many = spark.range(40_000).selectExpr("id AS record_id", "'http://hot.com/' AS url", "id AS at", "IF(id % 9 = 0, 200, 304) AS status", "CAST(NULL AS string) AS etag", "CAST(NULL AS string) AS last_modified", "'d' AS digest", "CAST(NULL AS map<string,string>) AS headers")
     assert warc.resolve_revisits(many).where("resolved_id <> record_id - record_id % 9").count() == 0
