@@ -94,6 +94,20 @@ def with_ranks(df: DataFrame, value: str, keys: list[str], tie: list[str]) -> Da
     }).withColumn("rank_avg", (F.col("rank_min") + F.col("rank_max")) / 2)
 
 
+def partial_ranks(df: DataFrame, value: str, keys: list[str], tie: list[str], num: int, descending: bool = False) -> DataFrame:
+    """Adds place (the order, from 1, of every row inside its key) and rank_min, rank_max, rank_avg of the first `num`; 0 beyond them.
+
+    Ties are ranked among the first `num` rows only. With a large `num` these are whole ranks, ascending or descending.
+    """
+    up = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(up(value), *tie)).cast("long"))
+    inside = F.col("place") <= num
+    w = Window.partitionBy(*keys, "_in").orderBy(up(value))
+    low, high = F.rank().over(w).cast("long"), F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.withColumn("_in", inside).withColumns({"rank_min": F.when(inside, low).otherwise(0), "rank_max": F.when(inside, high).otherwise(0)})
+    return ranked.drop("_in").withColumn("rank_avg", (F.col("rank_min") + F.col("rank_max")) / 2)
+
+
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, n, rank_min, rank_max) over the whole table, without a global window over rows.
 

@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 from . import clustering
 
 
+#: Bases of a cluster that is kept.
+SEED_SIZE = 10_000
+
+
 def mates(pairs: DataFrame, times: float = 10) -> DataFrame:
     """(idx, mate): of each contig's mates (itself apart) the two of highest coverage, if they pass `times` the third's where there are more than two."""
     w = Window.partitionBy("idx").orderBy(F.desc("coverage"), "mate")
@@ -54,13 +58,12 @@ def majority(edges: DataFrame, membership: DataFrame, contigs: DataFrame, min_pr
 
 def vote_until_still(edges: DataFrame, membership: DataFrame, contigs: DataFrame, min_prob: float, min_binned: float) -> DataFrame:
     """Votes repeated, all contigs of a round at once, until none joins."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    membership = membership.checkpoint()
+    membership = membership.transform(written)
     while True:
-        new = majority(edges, membership, contigs, min_prob, min_binned).select("contig_id", "label").checkpoint()
+        new = majority(edges, membership, contigs, min_prob, min_binned).select("contig_id", "label").transform(written)
         if not new.limit(1).count():
             return membership
-        membership = membership.unionByName(new).checkpoint()
+        membership = membership.unionByName(new).transform(written)
 
 
 def join_adjacent(edges: DataFrame, membership: DataFrame, p3: float) -> DataFrame:
@@ -72,15 +75,14 @@ def join_adjacent(edges: DataFrame, membership: DataFrame, p3: float) -> DataFra
 
 def follow_pairs(membership: DataFrame, pairs: DataFrame) -> DataFrame:
     """Reciprocal mates of members join their bins until none does."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    linked = pairs.unionByName(pairs.select(F.col("mate").alias("idx"), F.col("idx").alias("mate"))).checkpoint()
-    membership = membership.checkpoint()
+    linked = pairs.unionByName(pairs.select(F.col("mate").alias("idx"), F.col("idx").alias("mate"))).transform(written)
+    membership = membership.transform(written)
     while True:
         new = linked.join(membership.select(F.col("contig_id").alias("idx"), "label"), "idx").groupBy(F.col("mate").alias("contig_id")).agg(F.min("label").alias("label"))
-        new = new.join(membership, "contig_id", "left_anti").checkpoint()
+        new = new.join(membership, "contig_id", "left_anti").transform(written)
         if not new.limit(1).count():
             return membership
-        membership = membership.unionByName(new).checkpoint()
+        membership = membership.unionByName(new).transform(written)
 
 
 def comembership(boot: DataFrame, bootstraps: int, p_b: float) -> DataFrame:
@@ -99,6 +101,63 @@ def bin_overlap(membership: DataFrame, min_shared: float = 0.5) -> DataFrame:
     return out.withColumn("share", F.col("common") / F.least("na", "nb")).where(F.col("share") >= min_shared).select("a", "b", "common", "share")
 
 
+def medoids(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """(label, contig_id): of each bin the member of greatest weight sum to the others, then of least id."""
+    named = membership.select(F.col("contig_id").alias("dst"), F.col("label").alias("other"))
+    near = both_ways(edges).join(named, "dst").select(F.col("src").alias("contig_id"), F.col("other").alias("label"), "w").groupBy("contig_id", "label").agg(F.round(F.sum("w"), 9).alias("w"))
+    rows = membership.join(near, ["contig_id", "label"], "left").select("label", F.struct(F.coalesce("w", F.lit(0.0)).alias("w"), (-F.col("contig_id")).alias("minus")).alias("m"))
+    return rows.groupBy("label").agg(F.max("m").alias("m")).select("label", (-F.col("m.minus")).alias("contig_id"))
+
+
+def pair_probability(pairs: DataFrame, edges: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(src, dst, p) of pairs(src, dst): 1 for a contig and itself, else the edge's weight w, else 1 - d of the fallback (src, dst, d); src < dst in both."""
+    a, b = F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")
+    named = lambda df, c: df.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), c)
+    met = pairs.select("src", "dst", a, b).join(named(edges, "w"), ["lo", "hi"], "left").join(named(fallback, "d"), ["lo", "hi"], "left")
+    return met.select("src", "dst", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.coalesce("w", 1 - F.col("d"))).alias("p"))
+
+
+def runs_binned(boot: DataFrame) -> DataFrame:
+    """(contig_id, runs): in how many bootstraps a contig is binned."""
+    return boot.groupBy("contig_id").agg(F.countDistinct("b").alias("runs"))
+
+
+def dissolve(membership: DataFrame, contigs: DataFrame, turn: int, min_cls_size: int, seed_size: int = SEED_SIZE) -> DataFrame:
+    """Members of bins that reach min(seed_size * 2**turn, min_cls_size) bases; the others are leftovers again."""
+    return clustering.large_bins(membership, contigs, min(seed_size * 2**turn, min_cls_size))
+
+
+def escalate(edges: DataFrame, membership: DataFrame, contigs: DataFrame, min_prob: float, min_binned: float, min_cls_size: int) -> DataFrame:
+    """Votes, then bins below a floor that doubles each turn are dissolved, until no bin is."""
+    turn = 1
+    while True:
+        voted = vote_until_still(edges, membership, contigs, min_prob, min_binned)
+        membership = dissolve(voted, contigs, turn, min_cls_size).transform(written)
+        if not voted.select("label").distinct().join(membership.select("label").distinct(), "label", "left_anti").limit(1).count():
+            return membership
+        turn += 1
+
+
+def greedy_merge(membership: DataFrame, min_shared: float = 0.5) -> DataFrame:
+    """membership(contig_id, label), contigs in several bins, with bins merged that share at least min_shared of the smaller one's members.
+
+    Smallest first (by members, then label): a bin joins the first larger one that it shares enough with; after a merge the smallest is
+    looked at again. Bins that share members, however indirectly, are one group; every group makes its next merge in the same round.
+    """
+    membership = membership.select("contig_id", "label").distinct().transform(written)
+    while True:
+        x, y = membership.select("contig_id", F.col("label").alias("src")), membership.select("contig_id", F.col("label").alias("dst"))
+        common = x.join(y, "contig_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("common"))
+        size = membership.groupBy("label").agg(F.count("*").alias("n"))
+        common = common.join(size.select(F.col("label").alias("src"), F.col("n").alias("a")), "src").join(size.select(F.col("label").alias("dst"), F.col("n").alias("b")), "dst")
+        fit = common.where(F.struct("a", "src") < F.struct(F.col("b").alias("a"), F.col("dst").alias("src"))).where(F.col("common") / F.col("a") >= min_shared).transform(written)
+        if not fit.limit(1).count():
+            return membership
+        group = clustering.graph_components(common.select("src", "dst")).withColumnRenamed("contig_id", "src")
+        pick = fit.join(group, "src").groupBy("component").agg(F.min(F.struct("a", "src", "b", "dst")).alias("m")).select(F.col("m.src").alias("label"), F.col("m.dst").alias("to"))
+        membership = membership.join(F.broadcast(pick) if pick.count() <= 100_000 else pick, "label", "left").select("contig_id", F.coalesce("to", "label").alias("label")).distinct().transform(written)
+
+
 def first_come(membership: DataFrame, contigs: DataFrame, min_cls_size: int) -> DataFrame:
     """A contig in several bins stays in the largest; what bins keep must still reach min_cls_size."""
     totals = clustering.bin_totals(membership, contigs)
@@ -134,8 +193,11 @@ def medoid_clusters(src: np.ndarray, dst: np.ndarray, w: np.ndarray, queue: list
     return label
 
 
-def bootstrap(spark: SparkSession, edges: DataFrame, contigs: DataFrame, runs: int, p1: float, p2: float, seed: int = 42) -> DataFrame:
-    """boot(contig_id, b, label): medoid clusterings of each connected component under `runs` random queues. Labels are unique over components."""
+def bootstrap(spark: SparkSession, edges: DataFrame, contigs: DataFrame, runs: int, p1: float, p2: float, seed: int = 42, seed_size: int = SEED_SIZE) -> DataFrame:
+    """boot(contig_id, b, label): medoid clusterings of each connected component under `runs` random queues. Labels are unique over components.
+
+    Clusters of more than two members and at least seed_size bases are kept.
+    """
     comp = clustering.graph_components(edges).withColumnRenamed("contig_id", "src")
     named = edges.join(comp, "src").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(runs))))
 
@@ -148,8 +210,9 @@ def bootstrap(spark: SparkSession, edges: DataFrame, contigs: DataFrame, runs: i
         least: dict[int, int] = {}
         for c, x in found.items():
             least[x] = min(c, least.get(x, c))
-        sizes = {x: list(found.values()).count(x) for x in least}
-        good = {c: least[x] for c, x in found.items() if sizes[x] > 2}
+        good = {c: least[x] for c, x in found.items()}
         return pa.table({"contig_id": pa.array(list(good), pa.int64()), "b": pa.array([b] * len(good), pa.int32()), "label": pa.array(list(good.values()), pa.int64())})
 
-    return named.groupBy("component", "b").applyInArrow(run, "contig_id long, b int, label long")
+    boot = named.groupBy("component", "b").applyInArrow(run, "contig_id long, b int, label long").transform(written)
+    sums = boot.join(contigs.select("contig_id", "size"), "contig_id").groupBy("b", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bases"))
+    return boot.join(sums.where((F.col("n") > 2) & (F.col("bases") >= seed_size)).select("b", "label"), ["b", "label"], "left_semi").select("contig_id", "b", "label")

@@ -133,7 +133,7 @@ def tetramer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONTIGS}, {KMERS}, {VALUES} SELECT contig_id, kmer, round(value, 9) AS value FROM vals")
 def tnf_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composition.normalized(composition.tetramers(contigs(spark, sf_dir))).select("contig_id", "kmer", F.round("value", 9).alias("value"))
+    return composition.tetramer_values(contigs(spark, sf_dir)).select("contig_id", "kmer", F.round("value", 9).alias("value"))
 
 
 @query(f"WITH {CONTIGS}, {KMERS} SELECT contig_id, kmer, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY cnt DESC, kmer) AS rank FROM counts) WHERE rank <= 5")
@@ -346,7 +346,20 @@ def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(neighbours(spark, sf_dir).select("src", "dst", F.col("w").alias("s")), 95, 60)
 
 
-@query()
+DENSE = "dense AS (SELECT contig_id, sample_id, coalesce(mean, 0) AS mean FROM (SELECT DISTINCT contig_id FROM depth) CROSS JOIN (SELECT DISTINCT sample_id FROM depth) LEFT JOIN depth USING (contig_id, sample_id))"
+SPEARMAN = f"{DENSE}, {RANKED.replace('FROM depth', 'FROM dense')}"
+
+
+@query(f"""WITH {DEPTH}, {MEMBERS}, {PARTS}, {SPEARMAN},
+big AS (SELECT label, contig_id, row_number() OVER (PARTITION BY label ORDER BY contig_id) AS place FROM members QUALIFY count(*) OVER (PARTITION BY label) >= 10),
+lefts AS (SELECT contig_id FROM parts WHERE contig_id NOT IN (SELECT contig_id FROM members)),
+ok AS (SELECT contig_id FROM ranked GROUP BY 1 HAVING var_pop(mean) > 0),
+own AS (SELECT label, avg(c) AS own FROM (SELECT a.label, a.contig_id, b.contig_id, corr(x.mean, y.mean) AS c FROM big a JOIN big b ON a.label = b.label AND a.contig_id < b.contig_id JOIN ranked x ON x.contig_id = a.contig_id JOIN ranked y ON y.contig_id = b.contig_id AND y.sample_id = x.sample_id
+  WHERE a.contig_id IN (SELECT * FROM ok) AND b.contig_id IN (SELECT * FROM ok) GROUP BY ALL) GROUP BY label),
+tries AS (SELECT l.contig_id, b.label, b.place, corr(x.mean, y.mean) AS c FROM lefts l JOIN big b ON true JOIN ranked x ON x.contig_id = l.contig_id JOIN ranked y ON y.contig_id = b.contig_id AND y.sample_id = x.sample_id
+  WHERE l.contig_id IN (SELECT * FROM ok) AND b.contig_id IN (SELECT * FROM ok) GROUP BY l.contig_id, b.label, b.contig_id, b.place),
+fit AS (SELECT contig_id, label FROM (SELECT contig_id, label, avg(c) FILTER (place <= 10) AS first, avg(c) AS every FROM tries GROUP BY ALL) JOIN own USING (label) WHERE first >= own - 1e-9 AND every >= own - 1e-9 QUALIFY count(*) OVER (PARTITION BY contig_id) = 1)
+SELECT contig_id, label FROM fit WHERE (SELECT coalesce(sum(size), 0) FROM fit JOIN parts USING (contig_id)) < 0.5 * (SELECT sum(size) FROM parts)""")
 def recruit_by_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, bins = parts(spark, sf_dir), supplied(spark, sf_dir)
     return clustering.recruit(rows.join(bins, "contig_id", "left_anti"), bins, rows, depth(spark, sf_dir), 0.5)
@@ -354,7 +367,7 @@ def recruit_by_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.bootstrap(spark, neighbours(spark, sf_dir), parts(spark, sf_dir), 5, 0.9, 0.9)
+    return ensemble.bootstrap(spark, neighbours(spark, sf_dir), parts(spark, sf_dir), 20, 0.9, 0.9, seed_size=1000)
 
 
 @query()
@@ -364,4 +377,87 @@ def binning_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def binning_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.bin_ensemble(contigs(spark, sf_dir), None, None, BinningConfig(min_cls_size=20_000, bootstraps=5))
+    return binning.bin_ensemble(contigs(spark, sf_dir), _depth_of_documents(spark, sf_dir), mates(spark, sf_dir), BinningConfig(min_cls_size=20_000, min_samples=3))
+
+
+@query("SELECT regexp_extract(concat_ws(' ', source, lang), '^[^ \t]*', 0) AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.duplicate_names(contigs(spark, sf_dir).withColumn("name", readers.trim_name(F.col("name"))))
+
+
+@query(f"WITH {DEPTH} SELECT contig_id, round(sum(mean), 6) AS total FROM depth GROUP BY contig_id HAVING sum(mean) >= 75")
+def total_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depths.deep_enough(depth(spark, sf_dir), 75).select("contig_id", F.round("total", 6).alias("total"))
+
+
+@query(f"WITH {DEPTH} SELECT contig_id, sample_id, round(mean, 6) AS mean, round(var, 6) AS var FROM depth")
+def strict_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depths.strict(depth(spark, sf_dir)).select("contig_id", "sample_id", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
+
+
+def _partial_sql(num: int, way: str) -> str:
+    return f"""SELECT l_orderkey, l_linenumber, place, CASE WHEN place <= {num} THEN rank() OVER w ELSE 0 END AS rank_min, CASE WHEN place <= {num} THEN count(*) OVER (PARTITION BY l_orderkey, place <= {num} ORDER BY l_tax {way} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS rank_max
+    FROM (SELECT l_orderkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax {way}, l_linenumber) AS place FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey, place <= {num} ORDER BY l_tax {way})"""
+
+
+def _partial(spark: SparkSession, sf_dir: str, num: int, descending: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    return statistics.partial_ranks(rows, "l_tax", ["l_orderkey"], ["l_linenumber"], num, descending).select("l_orderkey", "l_linenumber", "place", F.col("rank_min").cast("long").alias("rank_min"), F.col("rank_max").cast("long").alias("rank_max"))
+
+
+@query(_partial_sql(3, "ASC"))
+def partial_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _partial(spark, sf_dir, 3, False)
+
+
+@query(_partial_sql(1000, "DESC"))
+def descending_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _partial(spark, sf_dir, 1000, True)
+
+
+@query(f"WITH {EDGES}, p AS (SELECT src, dst FROM ways UNION SELECT src, src FROM ways) SELECT p.src, p.dst, round(CASE WHEN p.src = p.dst THEN 1 ELSE coalesce(e.w, 1 - f.d) END, 6) AS p FROM p LEFT JOIN (SELECT * FROM edges WHERE w >= 0.6) e ON e.src = least(p.src, p.dst) AND e.dst = greatest(p.src, p.dst) LEFT JOIN (SELECT src, dst, 1 - w / 2 AS d FROM edges) f ON f.src = least(p.src, p.dst) AND f.dst = greatest(p.src, p.dst)")
+def pair_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = neighbours(spark, sf_dir)
+    ways = ensemble.both_ways(e).select("src", "dst")
+    pairs = ways.unionByName(ways.select("src", F.col("src").alias("dst"))).distinct()
+    out = ensemble.pair_probability(pairs, e.where("w >= 0.6"), e.select("src", "dst", (1 - F.col("w") / 2).alias("d")))
+    return out.select("src", "dst", F.round("p", 6).alias("p"))
+
+
+@query("SELECT l_suppkey AS contig_id, count(DISTINCT l_partkey % 7) AS runs FROM lineitem GROUP BY 1")
+def runs_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.runs_binned(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig_id"), (F.col("l_partkey") % 7).alias("b")))
+
+
+@query(f"WITH {MEMBERS}, {PARTS} SELECT contig_id, label FROM members JOIN parts USING (contig_id) QUALIFY sum(size) OVER (PARTITION BY label) >= least(10000 * 4, 60000)")
+def dissolved_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.dissolve(supplied(spark, sf_dir), parts(spark, sf_dir), 2, 60_000)
+
+
+MEDOIDS = "sums AS (SELECT m.contig_id, m.label, coalesce(round(sum(w) FILTER (o.label = m.label), 9), 0) AS w FROM members m LEFT JOIN ways ON src = m.contig_id LEFT JOIN members o ON o.contig_id = dst GROUP BY ALL), medoids AS (SELECT label, contig_id FROM sums QUALIFY row_number() OVER (PARTITION BY label ORDER BY w DESC, contig_id) = 1)"
+
+
+@query(f"WITH {EDGES}, {MEMBERS}, {MEDOIDS} SELECT label, contig_id FROM medoids")
+def bin_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.medoids(neighbours(spark, sf_dir), supplied(spark, sf_dir))
+
+
+@query(f"""WITH {DEPTH}, {EDGES}, {MEMBERS}, {PARTS}, {MEDOIDS}, {DENSE}, ok AS (SELECT contig_id FROM dense GROUP BY 1 HAVING var_pop(mean) > 1e-12),
+met AS (SELECT l.contig_id, m.label, round(corr(x.mean, y.mean), 9) AS cor FROM parts l JOIN medoids m ON true JOIN dense x ON x.contig_id = l.contig_id JOIN dense y ON y.contig_id = m.contig_id AND y.sample_id = x.sample_id
+  WHERE l.contig_id NOT IN (SELECT contig_id FROM members) AND l.contig_id IN (SELECT * FROM ok) AND m.contig_id IN (SELECT * FROM ok) GROUP BY ALL),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY contig_id ORDER BY cor DESC, label) = 1)
+SELECT contig_id, label, round(cor, 6) AS cor FROM best JOIN parts USING (contig_id) WHERE size * 100 >= 1000 AND cor > 0 AND cor >= 0.92 AND cor >= least(0.99, (92 + 3.5 * (log10(size * 100) - 3)) / 100)""")
+def recruit_by_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, bins = parts(spark, sf_dir).withColumn("size", F.col("size") * 100), supplied(spark, sf_dir)
+    found = clustering.recruit_by_medoid(rows.join(bins, "contig_id", "left_anti"), ensemble.medoids(neighbours(spark, sf_dir), bins), rows, depth(spark, sf_dir), 92, 1000)
+    return found.withColumn("cor", F.round("cor", 6))
+
+
+@query()
+def weighted_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.weighted_propagation(neighbours(spark, sf_dir).select("src", "dst", F.col("w").alias("s")))
+
+
+@query()
+def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.greedy_merge(sold(spark, sf_dir), 0.15)

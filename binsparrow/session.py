@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -15,3 +16,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if base is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder: cuts the lineage, and with it the estimated size, which grows in loops of joins."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
