@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,29 @@ def depth_distance(m1: Column, v1: Column, m2: Column, v2: Column, min_cv: float
     return F.when((m1 > min_cv) | (m2 > min_cv), F.least(F.greatest(d, F.lit(1e-6)), F.lit(1 - 1e-6)))
 
 
+def _log_gamma(z: Column) -> Column:
+    """Log of the gamma function for z >= 0.5: Stirling's series eight steps on."""
+    w = z + 8
+    steps = z
+    for i in range(1, 8):
+        steps = steps * (z + i)
+    return (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + 1 / (12 * w) - 1 / (360 * w * w * w) + 1 / (1260 * F.pow(w, 5)) - F.log(steps)
+
+
+def poisson_tail(a: Column, x: Column) -> Column:
+    """The regularised lower gamma function of a and x: P(Poisson(x) >= a), for any real a > 0. Its series has terms as long as x is wide."""
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    grow = lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"), (acc["s"] + acc["t"] * x / (a + n)).alias("s"))
+    total = F.aggregate(F.sequence(F.lit(1), (F.ceil(2 * x) + 60).cast("int")), start, grow, lambda acc: acc["s"])
+    return F.exp(a * F.log(x) - x - _log_gamma(a + 1)) * total
+
+
+def poisson_overlap(m1: Column, m2: Column) -> Column:
+    """1 - shared mass of two Poisson distributions of different positive means, split where their densities cross; counts are taken as real numbers."""
+    k = F.try_divide(m1 - m2, F.log(m1) - F.log(m2))
+    return F.transform(F.array(k), lambda c: F.abs(poisson_tail(c + 1, m1) - poisson_tail(c + 1, m2)))[0]
+
+
 def erlang_cdf(n: Column, x: Column) -> Column:
     """P(chi-squared with 2n degrees <= 2x) = 1 - exp(-x) * sum of x^k / k! for k < n, summed by a running term."""
     start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))

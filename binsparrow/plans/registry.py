@@ -97,7 +97,7 @@ def _overlap_sql() -> str:
     o3 AS MATERIALIZED (SELECT *, CASE WHEN near THEN (a + b) / 2 ELSE (a * vb - b * va - root) / d END AS k1, CASE WHEN near THEN (a + b) / 2 ELSE (a * vb - b * va + root) / d END AS k2 FROM o2),
     o4 AS MATERIALIZED (SELECT *, (k1 - a) / sqrt(va) AS x1, (k1 - b) / sqrt(vb) AS x2, (k2 - a) / sqrt(va) AS x3, (k2 - b) / sqrt(vb) AS x4 FROM o3),
     o5 AS MATERIALIZED (SELECT *, {phi('x1')} AS p1, {phi('x2')} AS p2, {phi('x3')} AS p3, {phi('x4')} AS p4 FROM o4),
-    dist AS (SELECT src, dst, w, sample_id, CASE WHEN m1 > 1 OR m2 > 1 THEN least(greatest(CASE WHEN a = b THEN 0 WHEN near THEN abs(p1 - p2) ELSE abs(p3 - p1 + p2 - p4) END, 1e-6), 1 - 1e-6) END AS dd FROM o5)"""
+    dist AS (SELECT src, dst, w, sample_id, m1, m2, CASE WHEN m1 > 1 OR m2 > 1 THEN least(greatest(CASE WHEN a = b THEN 0 WHEN near THEN abs(p1 - p2) ELSE abs(p3 - p1 + p2 - p4) END, 1e-6), 1 - 1e-6) END AS dd FROM o5)"""
 
 
 OVERLAP = _overlap_sql()
@@ -181,6 +181,20 @@ def geometric_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depths.geometric_distance(neighbours(spark, sf_dir), depth(spark, sf_dir)).select("src", "dst", F.round("d_abd", 6).alias("d_abd"), "nnz")
 
 
+def _pooled_sql() -> str:
+    tail = lambda m: f"list_sum(list_transform(range(0, 400), lambda n: exp((k + 1 + n) * ln({m}) - {m} - lgamma(k + 2 + n))))"
+    return f"""low AS (SELECT src, dst, coalesce(sum(ln(dd)) FILTER (m1 > 25 OR m2 > 25), 0) AS logs, count(*) FILTER (m1 > 25 OR m2 > 25) AS n,
+    coalesce(sum(m1) FILTER (m1 <= 25 AND m2 <= 25), 0) AS l1, coalesce(sum(m2) FILTER (m1 <= 25 AND m2 <= 25), 0) AS l2 FROM dist GROUP BY src, dst),
+pool AS (SELECT *, CASE WHEN greatest(l1, l2) > 25 THEN 1 ELSE 0 END AS extra, CASE WHEN abs(l1 - l2) > 1e-3 THEN (l1 - l2) / (ln(l1) - ln(l2)) END AS k FROM low),
+joined AS (SELECT *, CASE WHEN extra = 1 AND k IS NOT NULL THEN ln(greatest(abs({tail("l1")} - {tail("l2")}), 1e-12)) ELSE 0 END AS more FROM pool)"""
+
+
+@query(f"WITH {DEPTH}, {EDGES}, {ENDS}, {OVERLAP}, {_pooled_sql()} SELECT src, dst, round(exp((logs + more) / (n + extra)), 6) AS d_abd, n + extra AS nnz FROM joined WHERE n + extra > 0")
+def pooled_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = depths.geometric_distance(neighbours(spark, sf_dir), depth(spark, sf_dir), 25, True)
+    return rows.select("src", "dst", F.round("d_abd", 6).alias("d_abd"), "nnz")
+
+
 @query(f"WITH {DEPTH}, {EDGES}, {ENDS}, {OVERLAP}, g AS (SELECT src, dst, any_value(1 - w) AS t, exp(avg(ln(dd))) AS a, count(dd) AS n FROM dist GROUP BY src, dst HAVING count(dd) > 0) SELECT src, dst, round(CASE WHEN t > 0.05 THEN greatest(t, 0.9 * a) ELSE a * least(ln(n + 1) / ln(101), 0.9) + t * (1 - least(ln(n + 1) / ln(101), 0.9)) END, 6) AS d FROM g")
 def combined_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = neighbours(spark, sf_dir)

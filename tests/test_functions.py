@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from binsparrow.config import BinningConfig, preset
 from binsparrow.functions import composition, statistics
+from binsparrow.operators import depths
 from binsparrow.sources import readers, sinks
 
 # sizes, distance, logit, similarity, worked out by hand from the model's coefficients
@@ -80,6 +81,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.load_cache(spark, str(tmp_path / "cache"), min_contig=2500, at_most_min_p=70) is None
 
 
+def test_poisson_overlap(spark):
+    """Equals plain sums of Poisson probabilities where the crossing point is whole; the tail is continuous between."""
+    plain = lambda a, x: 1 - sum(math.exp(-x + i * math.log(x) - math.lgamma(i + 1)) for i in range(a))
+    cases = [(a, x) for a in (1, 2, 5, 30, 90) for x in (1e-6, 0.3, 4.0, 25.0, 110.0)]
+    df = spark.createDataFrame([(i, float(a), x) for i, (a, x) in enumerate(cases)], "i long, a double, x double").withColumn("t", statistics.poisson_tail(F.col("a"), F.col("x")))
+    for r in df.collect():
+        assert r.t == pytest.approx(plain(cases[r.i][0], r.x), abs=1e-10)
+    pairs = [(2.0, 3.5), (3.5, 2.0), (0.5, 60.0), (1e-6, 4.0), (20.0, 20.5)]
+    out = {(r.a, r.b): r.d for r in spark.createDataFrame(pairs, "a double, b double").withColumn("d", statistics.poisson_overlap(F.col("a"), F.col("b"))).collect()}
+    assert out[2.0, 3.5] == pytest.approx(out[3.5, 2.0]) and 0 < out[20.0, 20.5] < 0.06 < out[2.0, 3.5] < 0.6 < out[0.5, 60.0] <= 1
+
+
+def test_pooled_depths(spark):
+    """Samples of low depth count as one together, if their sum is deep enough."""
+    depth = spark.createDataFrame([(c, s, float(m), 1.0) for c, row in {1: (9, 3, 4), 2: (7, 1, 1), 3: (9, 3, 4), 4: (0, 1, 1), 5: (1, 0, 1)}.items() for s, m in enumerate(row)], "contig_id long, sample_id int, mean double, var double")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "src long, dst long")
+    plain = {(r.src, r.dst): r for r in depths.geometric_distance(edges, depth, 5).collect()}
+    pooled = {(r.src, r.dst): r for r in depths.geometric_distance(edges, depth, 5, True).collect()}
+    assert set(plain) == set(pooled) == {(1, 2), (1, 3)} and pooled[1, 2].nnz == plain[1, 2].nnz + 1 == 2
+    low = spark.range(1).select(statistics.poisson_overlap(F.lit(7.0), F.lit(2.0)).alias("d")).first().d
+    assert pooled[1, 2].d_abd == pytest.approx(math.sqrt(plain[1, 2].d_abd * low))
+    assert pooled[1, 3].d_abd == pytest.approx(math.sqrt(plain[1, 3].d_abd)) and pooled[1, 3].nnz == 2
+
+
 def test_fastq_marks_in_qualities(spark, tmp_path):
     rng = random.Random(5)
     reads = [(f"r{i}", "x y" if i % 3 else "", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@@+I ".strip()) for _ in range(n))) for i, n in enumerate([rng.randint(1, 9) for _ in range(300)])]
