@@ -1,4 +1,4 @@
-"""The ten corpus operators over the driver's tables, with production parameters."""
+"""The corpus operators over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, decontam, importance, langid, neardup, packing, sharding, substring, token_files, warc
+from . import curves, decontam, importance, langid, neardup, packing, sharding, substring, token_files, transducer, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -69,4 +69,8 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_importance, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op6_revisits, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree)}
+def op11_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), bpe(), limit=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_importance, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op6_revisits, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree, op11_transducer)}
