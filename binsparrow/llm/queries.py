@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, decontam, importance, langid, negatives, neardup, packing, sharding, substring, token_files, transducer, warc
+from . import curves, decontam, importance, langid, lexical, negatives, neardup, packing, sharding, substring, token_files, transducer, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -73,6 +73,13 @@ def op11_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), bpe(), limit=1024)
 
 
+def op12_wavelet_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op12_wavelet_trees"] = lexical.oracle_sql()
+
+
 def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -82,4 +89,4 @@ def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op13_norm_buckets"] = negatives.oracle_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_importance, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op6_revisits, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree, op11_transducer, op13_norm_buckets)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_importance, op3_hilbert_curves, op4_block_anchors, op5_best_fit_packing, op6_revisits, op7_chosen_path, op8_token_files, op9_spaced_seeds, op10_hash_tree, op11_transducer, op12_wavelet_trees, op13_norm_buckets)}
