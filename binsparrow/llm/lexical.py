@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Text bytes and documents of a shard; a longer text is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 14
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 13
 #: Terms of queries that are searched in one pass over the index.
 BLOCK_TERMS = 500_000
 #: Nodes of a query that are opened in one of the first waves, before a tree's depth is reached; later this many times more from wave to wave.
