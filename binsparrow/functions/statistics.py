@@ -85,10 +85,14 @@ def poisson_overlap(m1: Column, m2: Column) -> Column:
 
 
 def erlang_cdf(n: Column, x: Column) -> Column:
-    """P(chi-squared with 2n degrees <= 2x) = 1 - exp(-x) * sum of x^k / k! for k < n, summed by a running term."""
+    """P(chi-squared with 2n degrees <= 2x) = 1 - exp(-x) * sum of x^k / k! for k < n, summed by a running term.
+
+    Beyond x = 500, where terms would overflow, by the cube-root normal approximation (Wilson and Hilferty).
+    """
     start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
     total = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, lambda a, k: F.struct((a["t"] * x / k).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"])
-    return 1 - F.exp(-x) * total
+    z = 3 * F.sqrt(n) * (F.pow(x / n, 1 / 3) - 1 + 1 / (9 * n))
+    return F.when(x > 500, normal_cdf(z)).otherwise(1 - F.exp(-x) * total)
 
 
 def composite_score(s_abd: Column, s_tnf: Column, s_cor: Column, nnz: Column, samples: int) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from . import clustering
+from .medoids import cluster_runs, queue
 
 
 #: Bases of a cluster that is kept.
@@ -166,53 +163,14 @@ def first_come(membership: DataFrame, contigs: DataFrame, min_cls_size: int) ->
     return clustering.large_bins(kept, contigs, min_cls_size)
 
 
-def medoid_clusters(src: np.ndarray, dst: np.ndarray, w: np.ndarray, queue: list[int], p1: float, p2: float) -> dict[int, int]:
-    """Labels from 1: around the first unbinned contig of the queue, fish, move to the member most similar to the others, until it stays."""
-    near: dict[int, dict[int, float]] = {}
-    for a, b, x in zip(src.tolist(), dst.tolist(), w.tolist(), strict=True):
-        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = x
-    label: dict[int, int] = {}
-    number = 0
-    for start in queue:
-        if start in label:
-            continue
-        medoid, was = start, {start}
-        while True:
-            one = {u for u, x in near.get(medoid, {}).items() if x >= p1 and u not in label}
-            two = {v for u in one for v, x in near[u].items() if x >= p2 and v not in label}
-            members = sorted(one | two | {medoid})
-            sums = {m: sum(near.get(m, {}).get(o, 0.0) for o in members if o != m) for m in members}
-            best = min(members, key=lambda m: (-sums[m], m))
-            if best == medoid or best in was:
-                break
-            medoid = best
-            was.add(best)
-        number += 1
-        for m in members:
-            label[m] = number
-    return label
-
-
-def bootstrap(spark: SparkSession, edges: DataFrame, contigs: DataFrame, runs: int, p1: float, p2: float, seed: int = 42, seed_size: int = SEED_SIZE) -> DataFrame:
-    """boot(contig_id, b, label): medoid clusterings of each connected component under `runs` random queues. Labels are unique over components.
-
-    Clusters of more than two members and at least seed_size bases are kept.
+def bootstrap(edges: DataFrame, contigs: DataFrame, runs: int, p1: float, p2: float, seed: int = 42, seed_size: int = SEED_SIZE, depth: DataFrame | None = None) -> DataFrame:
+    """boot(contig_id, b, label): medoid clusterings under `runs` queues, labelled by their least contig.
+
+    Queues are random; with depth(contig_id, mean) that of run 1 begins with the deepest contigs. Clusters of more than two members and at least seed_size bases are kept.
     """
-    comp = clustering.graph_components(edges).withColumnRenamed("contig_id", "src")
-    named = edges.join(comp, "src").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        component, b = (k.as_py() for k in key)
-        src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
-        queue = np.union1d(src, dst).tolist()
-        random.Random(f"{seed}:{b}:{component}").shuffle(queue)
-        found = medoid_clusters(src, dst, w, queue, p1, p2)
-        least: dict[int, int] = {}
-        for c, x in found.items():
-            least[x] = min(c, least.get(x, c))
-        good = {c: least[x] for c, x in found.items()}
-        return pa.table({"contig_id": pa.array(list(good), pa.int64()), "b": pa.array([b] * len(good), pa.int32()), "label": pa.array(list(good.values()), pa.int64())})
-
-    boot = named.groupBy("component", "b").applyInArrow(run, "contig_id long, b int, label long").transform(written)
-    sums = boot.join(contigs.select("contig_id", "size"), "contig_id").groupBy("b", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bases"))
-    return boot.join(sums.where((F.col("n") > 2) & (F.col("bases") >= seed_size)).select("b", "label"), ["b", "label"], "left_semi").select("contig_id", "b", "label")
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    first = None if depth is None else depth.groupBy(F.col("contig_id").alias("node")).agg(F.sum("mean").alias("depth"))
+    owners = cluster_runs(edges, queue(nodes, runs, seed, first).transform(written), p1, p2).transform(written)
+    sums = owners.join(contigs.select(F.col("contig_id").alias("node"), "size"), "node").groupBy("b", "start", "turn").agg(F.count("*").alias("n"), F.sum("size").alias("bases"), F.min("node").alias("label"))
+    kept = sums.where((F.col("n") > 2) & (F.col("bases") >= seed_size)).select("b", "start", "turn", "label")
+    return owners.join(kept, ["b", "start", "turn"]).select(F.col("node").alias("contig_id"), "b", "label")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import BinningConfig
 from ..functions import composition, statistics
-from ..operators import clustering, depths, ensemble, scoring, similarity
+from ..operators import admission, clustering, depths, ensemble, scoring, similarity
+from ..session import written
 from ..sources import readers, sinks
 from . import binning
 
@@ -357,7 +358,7 @@ def rescored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster(neighbours(spark, sf_dir).select("src", "dst", F.col("w").alias("s")), 95, 60)
+    return admission.cluster(neighbours(spark, sf_dir).select("src", "dst", F.col("w").alias("s")), 95, 60)
 
 
 DENSE = "dense AS (SELECT contig_id, sample_id, coalesce(mean, 0) AS mean FROM (SELECT DISTINCT contig_id FROM depth) CROSS JOIN (SELECT DISTINCT sample_id FROM depth) LEFT JOIN depth USING (contig_id, sample_id))"
@@ -381,7 +382,7 @@ def recruit_by_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.bootstrap(spark, neighbours(spark, sf_dir), parts(spark, sf_dir), 20, 0.9, 0.9, seed_size=1000)
+    return ensemble.bootstrap(neighbours(spark, sf_dir).transform(written), parts(spark, sf_dir), 20, 0.9, 0.9, seed_size=1000, depth=depth(spark, sf_dir))
 
 
 @query()

@@ -75,7 +75,7 @@ def test_bootstrap_keeps_large_clusters(spark):
     edges = [(a, b, 0.95) for g in (0, 10, 20) for a in range(g, g + 4) for b in range(a + 1, g + 4)] + [(30, 31, 0.95)]
     df = spark.createDataFrame(edges, "src long, dst long, w double")
     sizes = spark.createDataFrame([(c, 100 if 10 <= c < 20 else 4000) for c in range(40)], "contig_id long, size long")
-    boot = ensemble.bootstrap(spark, df, sizes, 3, 0.9, 0.9)
+    boot = ensemble.bootstrap(df, sizes, 3, 0.9, 0.9)
     assert {(r.contig_id, r.b, r.label) for r in boot.collect()} == {(c, b, g) for g in (0, 20) for c in range(g, g + 4) for b in (1, 2, 3)}
     assert {(r.contig_id, r.runs) for r in ensemble.runs_binned(boot).collect()} == {(c, 3) for g in (0, 20) for c in range(g, g + 4)}
 
