@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +84,37 @@ def follow_pairs(membership: DataFrame, pairs: DataFrame) -> DataFrame:
         membership = membership.unionByName(new).transform(written)
 
 
+#: Contigs with one label in one run that meet in one task.
+LABEL_PART = 2048
+
+
 def comembership(boot: DataFrame, bootstraps: int, p_b: float) -> DataFrame:
-    """(src, dst, shared, w): contigs that share a label in at least p_b of the runs. boot(contig_id, b, label), unassigned rows absent."""
-    a, b = boot.select(F.col("contig_id").alias("src"), "b", "label"), boot.select(F.col("contig_id").alias("dst"), "b", "label")
-    n = a.join(b, ["b", "label"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    return n.where(F.col("shared") >= bootstraps * p_b).select("src", "dst", "shared", (F.col("shared") / bootstraps).alias("w"))
+    """(src, dst, shared, w): contigs that share a label in at least p_b of the runs. boot(contig_id, b, label), unassigned rows absent.
+
+    A threshold join with a prefix filter: a contig's labels are put in order, rare ones first, and two contigs that share t of them share one among the
+    first size - t + 1 of either. Contigs with equal labels are one until the end, and a pair is found at its first shared label only. A label of very many
+    contigs is split into parts that meet two by two.
+    """
+    least = max(1, math.ceil(bootstraps * p_b - 1e-9))
+    boot = boot.select("contig_id", F.col("b").cast("long").alias("b"), F.col("label").cast("long").alias("label")).distinct()
+    often = boot.groupBy("b", "label").agg(F.count("*").alias("n"))
+    labels = boot.join(often, ["b", "label"]).groupBy("contig_id").agg(F.array_sort(F.collect_list(F.struct("n", "b", "label"))).alias("labels")).where(F.size("labels") >= least)
+    labels = labels.transform(written)
+    rows = labels.join(labels.groupBy("labels").agg(F.min("contig_id").alias("rep")), "labels").transform(written)
+    kinds = rows.where("contig_id = rep").select("rep", "labels")
+    head = kinds.withColumn("at", F.explode(F.slice("labels", F.lit(1), F.size("labels") - least + 1)))
+    parts = F.ceil(F.col("at.n") / LABEL_PART)  # of a label; equal contigs were counted apart, so parts are small rather than large
+    head = head.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    tile = lambda own, other: F.struct("at.b", "at.label", own.alias("x"), other.alias("y"))
+    x = head.withColumn("o", F.explode(F.filter(every, lambda v: v >= F.col("part")))).select(tile(F.col("part"), F.col("o")).alias("tile"), F.col("rep").alias("a"), F.col("labels").alias("p"), "at", F.col("part").alias("of_a"))
+    y = head.withColumn("o", F.explode(F.filter(every, lambda v: v <= F.col("part")))).select(tile(F.col("o"), F.col("part")).alias("tile"), F.col("rep").alias("c"), F.col("labels").alias("q"), F.col("part").alias("of_c"))
+    met = x.join(y, "tile").where((F.col("of_a") < F.col("of_c")) | (F.col("a") < F.col("c"))).withColumn("both", F.array_intersect("p", "q"))
+    pairs = met.where((F.size("both") >= least) & (F.col("both")[0] == F.col("at"))).select("a", "c", F.size("both").cast("long").alias("shared"))
+    named = lambda rep, name: rows.select(F.col("rep").alias(rep), F.col("contig_id").alias(name))
+    apart = pairs.join(named("a", "i"), "a").join(named("c", "j"), "c").select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "shared")
+    alike = rows.select("rep", F.col("contig_id").alias("src"), F.size("labels").cast("long").alias("shared")).join(named("rep", "dst"), "rep").where("src < dst").select("src", "dst", "shared")
+    return apart.unionByName(alike).select("src", "dst", "shared", (F.col("shared") / bootstraps).alias("w"))
 
 
 def bin_overlap(membership: DataFrame, min_shared: float = 0.5) -> DataFrame:

@@ -270,13 +270,14 @@ def fish_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.fish(neighbours(spark, sf_dir), medoids, 0.6, 0.9)
 
 
-BOOT = "boot AS (SELECT DISTINCT l_suppkey AS contig_id, l_partkey % 7 AS b, l_partkey % 3 AS label FROM lineitem WHERE l_quantity > 45)"
+BOOT = "boot AS (SELECT l_partkey AS contig_id, l_linenumber AS b, min(l_suppkey) % 10 AS label FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"WITH {BOOT} SELECT x.contig_id AS src, y.contig_id AS dst, count(*) AS shared, round(count(*) / 21, 6) AS w FROM boot x JOIN boot y ON x.b = y.b AND x.label = y.label AND x.contig_id < y.contig_id GROUP BY ALL HAVING count(*) >= 21 * 0.2")
+@query(f"WITH {BOOT} SELECT x.contig_id AS src, y.contig_id AS dst, count(*) AS shared, round(count(*) / 7, 6) AS w FROM boot x JOIN boot y ON x.b = y.b AND x.label = y.label AND x.contig_id < y.contig_id GROUP BY ALL HAVING count(*) >= 7 * 0.5")
 def comembership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boot = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("contig_id"), (F.col("l_partkey") % 7).alias("b"), (F.col("l_partkey") % 3).alias("label")).distinct()
-    return ensemble.comembership(boot, 21, 0.2).withColumn("w", F.round("w", 6))
+    """Line numbers stand for runs, a part's least supplier under one for its label."""
+    boot = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("contig_id"), F.col("l_linenumber").alias("b")).agg((F.min("l_suppkey") % 10).alias("label"))
+    return ensemble.comembership(boot, 7, 0.5).withColumn("w", F.round("w", 6))
 
 
 SOLD = "sold AS (SELECT DISTINCT l_partkey AS contig_id, l_suppkey % 25 AS label FROM lineitem)"
