@@ -167,6 +167,24 @@ def cutoff_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.coverage(best, [0.7, 0.8, 0.9, 0.95, 0.99]).select("cutoff", F.round("covered", 6).alias("covered"))
 
 
+@query(f"""{TNF}, drawn AS (SELECT attempt, contig_id FROM wide, range(3) t(attempt) QUALIFY row_number() OVER (PARTITION BY attempt ORDER BY md5(concat_ws(':', 42, attempt, contig_id)), contig_id) <= 60),
+best AS (SELECT a.attempt, a.contig_id, greatest(0.5, max(1 - 1 / (1 + exp(p)))) AS b FROM drawn a JOIN scored ON src = a.contig_id JOIN drawn z ON z.attempt = a.attempt AND z.contig_id = dst GROUP BY ALL), grid AS (SELECT unnest([0.7, 0.9, 0.99]::DOUBLE[]) AS cutoff)
+SELECT attempt::INTEGER AS attempt, cutoff, round(count(*) FILTER (b >= cutoff) / count(*), 6) AS covered FROM best, grid GROUP BY ALL""")
+def sampled_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage inside three samples, as the cutoff search draws them."""
+    profiles = large_profiles(spark, sf_dir).transform(written)
+    runs = [similarity.sampled_coverage(profiles, 60, a, [0.7, 0.9, 0.99]).select(F.lit(a).alias("attempt"), "cutoff", F.round("covered", 6).alias("covered")) for a in range(3)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query("SELECT event_id, user_id, before FROM (SELECT event_id, user_id, lag(user_id) OVER (ORDER BY event_id) AS before FROM events WHERE user_id IS NOT NULL) WHERE user_id < before")
+def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for lines of a file, read in splits of 1000: where a user comes after a later one."""
+    place = F.shiftleft(F.floor(F.col("event_id") / 1000), 33) + F.col("event_id") % 1000
+    rows = readers.order_breaks(table(spark, sf_dir, "events").withColumn("row", place), "user_id")
+    return rows.select((F.shiftright("row", 33) * 1000 + F.col("row") % F.lit(1 << 33)).alias("event_id"), F.col("key").alias("user_id"), "before")
+
+
 @query(f"WITH {DEPTH} SELECT contig_id, round(coalesce(sum(mean) FILTER (mean >= 20), 0), 6) AS total, CASE WHEN NOT bool_and(mean BETWEEN 0 AND 1e7 AND var BETWEEN 0 AND 1e14) THEN 'invalid' WHEN coalesce(bool_or(mean > 0 AND var / mean > 12), false) THEN 'highVariance' WHEN coalesce(sum(mean) FILTER (mean >= 20), 0) < 50 THEN 'lowDepth' ELSE 'ok' END AS verdict FROM depth GROUP BY contig_id")
 def depth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depths.judged(depth(spark, sf_dir), 20, 50, 12).select("contig_id", F.round("total", 6).alias("total"), "verdict")

@@ -105,30 +105,6 @@ def test_pooled_depths(spark):
     assert pooled[1, 3].d_abd == pytest.approx(math.sqrt(plain[1, 3].d_abd)) and pooled[1, 3].nnz == 2
 
 
-def test_fastq_marks_in_qualities(spark, tmp_path):
-    rng = random.Random(5)
-    reads = [(f"r{i}", "x y" if i % 3 else "", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@@+I ".strip()) for _ in range(n))) for i, n in enumerate([rng.randint(1, 9) for _ in range(300)])]
-    for end in ("\n", "\r\n"):
-        folder = tmp_path / f"fq{len(end)}"
-        folder.mkdir()
-        for k in range(3):
-            (folder / f"{k}.fq").write_bytes("".join(f"@{n}{' ' * bool(c)}{c}{end}{s}{end}+{n}{end}{q}{end}" for n, c, s, q in reads[k::3]).encode())
-        for size in ("64", "1000", "128m"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            try:
-                rows = readers.read_fastq(spark, str(folder)).collect()
-            finally:
-                spark.conf.unset("spark.sql.files.maxPartitionBytes")
-            assert sorted((r.name, r.comment, r.seq, r.qual) for r in rows) == sorted(reads)
-            assert len({r.read_id for r in rows}) == len(reads)
-    for k, broken in enumerate(("@r1\nACGT\n+\n@II", "@r1\nACGT\n+\n", "@r1\nACGT\n+\nIIII\n@@@@\n", "@r1\nACGT\n+\nIII\n@r2\nA\n+\nI\n")):
-        (tmp_path / f"broken{k}.fq").write_text(broken)
-        with pytest.raises(Exception, match="truncated quality"):
-            readers.read_fastq(spark, str(tmp_path / f"broken{k}.fq")).collect()
-    (tmp_path / "none.fq").write_text("\n")
-    assert readers.read_fastq(spark, str(tmp_path / "none.fq")).count() == 0
-
-
 def test_config():
     assert preset("superspecific").p1 == 95
     with pytest.raises(ValueError):
