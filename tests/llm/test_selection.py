@@ -288,7 +288,7 @@ def test_curves_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
     x[200:700] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2020, [float("nan")] + [1.0] * 15), (2040, [1.0] * 15 + [None]), (2060, [1.0] * 3), (None, [1.0] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2020, [float("nan")] + [1.0] * 15), (2040, [1.0] * 15 + [None]), (2061, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
     got = {}
     for r in curves.nearest(df).collect():
@@ -296,8 +296,9 @@ def test_curves_recall_and_edges(spark):
     assert set(got) == set(range(0, 1500, 20))
     hits = 0
     for q, found in got.items():
-        score = x @ x[q]
-        want = [i for i in np.lexsort((np.arange(1500), -score.round(9))) if i != q][:20]
+        score = np.full(2062, -np.inf)
+        score[:1500], score[2061] = x @ x[q], x[q][:3].sum()  # a shorter vector ends in zeros
+        want = [i for i in np.lexsort((np.arange(2062), -score.round(9))) if i != q][:20]
         found.sort()
         assert [f[0] for f in found] == list(range(1, 21)) and all(abs(s - score[v]) < 1e-9 for _, v, s in found)
         hits += len({v for _, v, _ in found} & set(want))
@@ -321,6 +322,34 @@ def test_curves_recall_at_sizes(spark, n):
     assert len(got) == -(-n // 20) and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["offset", "lengths", "clusters", "uniform", "repeats"])
+def test_curves_recall_on_structure(spark, kind):
+    """An offset in every component, uneven lengths, clusters, positive components, many equal vectors under many ids or one."""
+    rng, n = np.random.default_rng(len(kind)), 2500
+    x = rng.standard_normal((n, 32))
+    if kind == "offset":
+        x += 8
+    elif kind == "lengths":
+        x *= np.exp(rng.standard_normal((n, 1)))
+    elif kind == "clusters":
+        x = 3 * rng.standard_normal((30, 32))[rng.integers(0, 30, n)] + x / 2
+    elif kind == "uniform":
+        x = rng.random((n, 32))
+    else:
+        x[: n // 3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 30, "vec_id long, embedding array<double>")
+    got = {}
+    for r in curves.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    score = (x @ x.T).round(9)
+    np.fill_diagonal(score, -np.inf)
+    hits = 0
+    for q, found in got.items():
+        assert sorted(k for k, _ in found) == list(range(1, 21)) and len({v for _, v in found}) == 20
+        hits += len({v for _, v in found} & set(np.lexsort((np.arange(n), -score[q]))[:20].tolist()))
+    assert len(got) == n // 20 and hits >= 0.9 * 20 * len(got)
+
+
 def test_packing(spark):
     rng = random.Random(6)
     texts = [(i, "tok " * rng.choice([1, 2, 5, 9, 30, 31, 33, 70, 200])) for i in range(120)] + [(900, None), (901, ""), (None, "a"), (5, "a"), (5, "a"), (77777, "x <|endoftext|> y")]
