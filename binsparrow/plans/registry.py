@@ -320,6 +320,12 @@ def bin_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.bin_totals(supplied(spark, sf_dir), parts(spark, sf_dir)).withColumn("bin_id", F.col("bin_id").cast("long"))
 
 
+@query(f"WITH {MEMBERS}, {PARTS}, k AS (SELECT contig_id, size, CASE WHEN size >= 800 THEN 'large' ELSE 'small' END AS size_class FROM parts) SELECT size_class, count(*) AS contigs, count(m.contig_id) AS binned, sum(size)::BIGINT AS bases, coalesce(sum(size) FILTER (m.contig_id IS NOT NULL), 0)::BIGINT AS binned_bases, round(100 * coalesce(sum(size) FILTER (m.contig_id IS NOT NULL), 0) / sum(size), 6) AS percent FROM k LEFT JOIN members m USING (contig_id) GROUP BY size_class")
+def binned_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts(spark, sf_dir).withColumn("size_class", F.when(F.col("size") >= 800, "large").otherwise("small"))
+    return clustering.binned_share(supplied(spark, sf_dir), rows).withColumn("percent", F.round("percent", 6))
+
+
 @query(f"WITH {MEMBERS}, {PARTS} SELECT contig_id, label FROM members JOIN parts USING (contig_id) QUALIFY sum(size) OVER (PARTITION BY label) >= 20000")
 def large_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.large_bins(supplied(spark, sf_dir), parts(spark, sf_dir), 20000)
