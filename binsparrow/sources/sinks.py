@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import output_lines, write_named
+
 
 def wrap(seq: Column, width: int = 60) -> Column:
     """Sequence in lines of `width`, each ended."""
@@ -24,6 +26,16 @@ def write_bins(contigs: DataFrame, bins: DataFrame, path: str, names_only: bool
     rows.repartition("bin_id").sortWithinPartitions("bin_id", "contig_id").select("bin_id", value.alias("value")).write.partitionBy("bin_id").text(path)
 
 
+def write_output(contigs: DataFrame, bins: DataFrame, path: str, prefix: str = "out", low_depth: DataFrame | None = None, names_only: bool = False, leftovers: bool = True, membership: bool = True) -> None:
+    """A run's files in one folder: <prefix>.<n>.fa for each bin, <prefix>.unbinned.fa, .tooShort.fa and .lowDepth.fa, and <prefix>, name and bin (0 for none) of every contig.
+
+    contigs(contig_id, name, seq, size_class), bins(contig_id, bin_id). Contigs are in order of contig_id, sequences in lines of 60. With names_only
+    files hold names and have no ending. A file is written by as many tasks as its size asks for, and all get their names at the end; files without contigs are not made.
+    """
+    record = F.concat(F.lit(">"), "name", F.lit("\n"), wrap(F.regexp_replace("seq", r"[\r\n]", "")))
+    write_named(output_lines(contigs, bins.select("contig_id", "bin_id"), low_depth, prefix, names_only, leftovers, membership, record), path)
+
+
 def membership_table(contigs: DataFrame, bins: DataFrame) -> DataFrame:
     """name, label; 0 for contigs in no bin."""
     return contigs.join(bins, "contig_id", "left").select("name", F.coalesce("bin_id", F.lit(0)).alias("label"))
