@@ -10,6 +10,7 @@ Counts are gathered over all documents: every task sums its own into BUCKETS num
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,30 +83,46 @@ def top_share(rows: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
     """Adds `selected` to the k rows of greatest key (then least ties) without a global sort.
 
     Counts of keys in RANGES ranges of value find the range that holds the k-th, which is cut again until it holds at most RANKED
-    rows, or rows of one key; only those are ranked. `rows` are read several times.
+    rows, or rows of one key: those are told apart by the next tie in the same way. Only at most RANKED rows are ranked, or rows alike in key and ties. `rows` are
+    read several times.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
+    keys = [F.col(key), *[F.coalesce(-F.col(t).cast("double"), F.lit(math.inf)) for t in ties]]
+    above, inside, left, n = F.lit(False), F.lit(True), k, rows.count()
+    if not n or k <= 0:
         return rows.withColumn("selected", F.lit(False))
-    inside = F.col(key).between(low, high)
+    for c in keys:
+        low, high, n, left, inside, higher = _narrowed(rows, c, inside, left)
+        above = above | higher
+        if n <= RANKED:
+            break
+    edge = rows.where(inside).withColumn("selected", F.row_number().over(Window.orderBy(*[F.desc(c) for c in keys])) <= left)
+    return edge.unionByName(rows.where(~inside).withColumn("selected", above))
+
+
+def _narrowed(rows: DataFrame, c: Column, inside: Column, left: int) -> tuple:
+    """(low, high, n, left, inside, higher): the values of c between which the left-th greatest of the rows inside lies, how many rows those are and how many of them
+    are still to select, and the conditions of being there and of being above."""
+    low, high = rows.where(inside).agg(F.min(c), F.max(c)).first()
+    top, here = high, inside
     while True:
+        n = rows.where(here).count()
         width = (high - low) / RANGES
-        n = rows.where(inside).count()
-        if n <= RANKED or width <= 1e-9 * max(1.0, abs(low), abs(high)):
+        if n <= RANKED or low == high:
             break
-        at = F.least(F.lit(RANGES - 1), F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
-        counts = {r["at"]: r for r in rows.where(inside).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
-        left = k - rows.where(F.col(key) > F.lit(high)).count()
+        if math.isinf(high):  # missing ids
+            at = (c == F.lit(high)).cast("int")
+        elif width <= math.ulp(max(abs(low), abs(high))):  # too few values between for ranges
+            at = (c > F.lit(low)).cast("int")
+        else:
+            at = F.least(F.lit(RANGES - 1), F.floor((c - F.lit(low)) / F.lit(width)))
+        counts = {r["at"]: r for r in rows.where(here).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).collect()}
         for i in sorted(counts, reverse=True):
             if left <= counts[i]["n"]:
                 break
             left -= counts[i]["n"]
         low, high = counts[i]["low"], counts[i]["high"]
-        inside = F.col(key).between(low, high)
-    above = rows.where(F.col(key) > F.lit(high)).count()
-    rank = F.row_number().over(Window.orderBy(F.desc(key), *ties))
-    edge = rows.where(inside).withColumn("selected", rank <= k - above)
-    return edge.unionByName(rows.where(~inside).withColumn("selected", F.col(key) > F.lit(high)))
+        here = inside & c.between(low, high)
+    return low, high, n, left, here, (inside & (c > F.lit(high))) if high != top else F.lit(False)
 
 
 def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.5, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
@@ -124,5 +141,5 @@ def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     weights = base.mapInArrow(_weigh(shared, buckets), "doc_id long, n_features long, log_weight double")
     key = gumbel(F.col("doc_id"), seed) + F.when(F.col("n_features") > 0, F.col("log_weight")).otherwise(F.lit(-1e9))
-    rows = materialize(weights.withColumn("gumbel_key", key), "importance-weights")
-    return top_share(rows, "gumbel_key", ["doc_id"], round(share * rows.count()))
+    rows = materialize(weights.withColumn("gumbel_key", key).withColumn("row", F.monotonically_increasing_id()), "importance-weights")
+    return top_share(rows, "gumbel_key", ["doc_id", "row"], round(share * rows.count())).drop("row")

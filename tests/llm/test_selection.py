@@ -282,6 +282,17 @@ def test_importance(spark, monkeypatch):
     monkeypatch.setattr(importance, "RANKED", 100)
     top = importance.top_share(keys, "key", ["id"], 1500).where("selected").collect()
     assert {r.id for r in top} == {i for _, i in sorted((-(i % 7), i) for i in range(5000))[:1500]}
+    # no more than RANKED rows are ranked, whether most rows are wordless, have one id or none, or keys next to each other
+    sizes = []
+    ranked = importance._narrowed
+    monkeypatch.setattr(importance, "_narrowed", lambda *a: sizes.append((out := ranked(*a))[2]) or out)
+    near = [math.nextafter(1e9, 2e9), 1e9]
+    for key, ident in ((lambda i: -1e9 + (i % 3000) / 1e7, lambda i: i), (lambda i: 5.0, lambda i: None if i % 3 else 7), (lambda i: near[i % 2], lambda i: i % 5), (lambda i: float(i % 2), lambda i: 2)):
+        rows = [(i, key(i), ident(i)) for i in range(3000)]
+        df = spark.createDataFrame(rows, "row long, key double, doc_id long")
+        sizes.clear()
+        got = {r.row for r in importance.top_share(df, "key", ["doc_id", "row"], 1234).where("selected").collect()}
+        assert got == {i for i, *_ in sorted(rows, key=lambda r: (-r[1], r[2] is not None, r[2] or 0, r[0]))[:1234]} and sizes[-1] <= 100
 
 
 def test_curves_recall_and_edges(spark):
@@ -427,7 +438,7 @@ def test_sharding(spark):
     assert moved and all(r.grown_shard in range(4) for r in moved)  # only into the region that weighs more
 
 
-def test_spaced_seeds(spark):
+def test_spaced_seeds(spark, monkeypatch):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(500)]
     item = [rng.choice(words) for _ in range(30)]
@@ -438,6 +449,9 @@ def test_spaced_seeds(spark):
     docs = documents(spark, texts)
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(d, i) for d in (1, 2, 5, None) for i in (0, 3)}
+    with monkeypatch.context() as m:  # many seeds: joined by hash in one pass
+        m.setattr(decontam, "BLOCK_SEEDS", 5)
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench.unionByName(bench.selectExpr("item_id", "concat('zero ', text) AS text"))).collect()} == got
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {3, 4, 6, 7, 8}
     assert decontam.decontaminate(docs, bench.where("item_id < 0")).count() == len(texts) and decontam.contaminated(docs.where("doc_id < 0"), bench).count() == 0
     short = spark.createDataFrame([(7, "one two, Three four five"), (None, "one two three four five"), (8, "one two three four")], "item_id long, text string")
