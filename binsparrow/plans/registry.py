@@ -305,6 +305,12 @@ def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("contig_id"), (F.col("l_suppkey") % 25).alias("label")).distinct()
 
 
+@query()
+def follow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal mates of supplied parts join their bins until none does."""
+    return ensemble.follow_pairs(supplied(spark, sf_dir), ensemble.reciprocal(ensemble.mates(mates(spark, sf_dir), 1.01)))
+
+
 @query(f"WITH {SOLD}, n AS (SELECT label, count(*) AS n FROM sold GROUP BY 1), c AS (SELECT x.label AS a, y.label AS b, count(*) AS common FROM sold x JOIN sold y ON x.contig_id = y.contig_id AND x.label < y.label GROUP BY ALL) SELECT a, b, common, round(common / least(p.n, q.n), 6) AS share FROM c JOIN n p ON p.label = a JOIN n q ON q.label = b WHERE common / least(p.n, q.n) >= 0.3")
 def bin_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.bin_overlap(sold(spark, sf_dir), 0.3).withColumn("share", F.round("share", 6))
@@ -375,7 +381,11 @@ def _depth_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth(spark, sf_dir).withColumn("contig_id", F.col("contig_id").cast("long"))
 
 
-@query()
+@query(f"""WITH {DEPTH}, {EDGES}, {ENDS}, {OVERLAP}, ab AS (SELECT src, dst, any_value(w) AS tnf, avg(1 - dd) AS abd, count(dd) AS nnz FROM dist GROUP BY src, dst HAVING count(dd) > 0),
+cr AS (SELECT src, dst, round(coalesce(CASE WHEN isnan(c) THEN NULL ELSE c END, -1), 9) AS cor FROM (SELECT src, dst, corr(m1, m2) AS c FROM ends GROUP BY src, dst)),
+sorted AS (SELECT abd AS y, row_number() OVER (ORDER BY abd) AS r FROM ab),
+placed AS (SELECT ab.*, rank() OVER (ORDER BY tnf) AS rt, count(*) OVER (ORDER BY cor RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rc FROM ab JOIN cr USING (src, dst))
+SELECT src, dst, round(sqrt(abd ** (1 - 1 / (1 + nnz)) * t.y ** (1 / (1 + nnz)) * c.y), 6) AS s FROM placed JOIN sorted t ON t.r = rt JOIN sorted c ON c.r = rc""")
 def rescored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = neighbours(spark, sf_dir).select("src", "dst", F.col("w").alias("s_tnf"))
     return scoring.rescored(edges, depth(spark, sf_dir), 3).select("src", "dst", F.round("s", 6).alias("s"))

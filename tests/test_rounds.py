@@ -1,6 +1,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.errors import PySparkException
@@ -119,3 +120,51 @@ def test_tetramers_by_brute_force(spark):
     assert {(r.contig_id, r.kmer): r.cnt for r in composition.tetramers(df).collect()} == want
     rows = {r.contig_id: r.tnf for r in composition.profiles(df).collect()}
     assert len(rows) == len(seqs) and sum(rows[100]) == sum(rows[101]) == 0 and abs(sum(v * v for v in rows[0]) - 1) < 1e-12
+
+
+def test_pairs_are_followed(spark):
+    """Round after round the free mates of members join; of two labels that come at once the least."""
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(55)})
+    bins = {0: 5, 17: 3, 40: 9}
+    want = dict(bins)
+    while True:
+        new = {}
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)):
+                if x in want and y not in want:
+                    new[y] = min(want[x], new.get(y, 99))
+        if not new:
+            break
+        want |= new
+    got = ensemble.follow_pairs(spark.createDataFrame(list(bins.items()), "contig_id long, label long"), spark.createDataFrame(pairs, "idx long, mate long"))
+    assert {r.contig_id: r.label for r in got.collect()} == want and len(want) > 10
+
+
+def test_recruits_by_brute_force(spark):
+    """Leftovers that correlate by rank with exactly one bin as its members do with each other; both engines with depths run in this session too."""
+    rng = np.random.default_rng(6)
+    shape = rng.random((3, 8))
+    rows, bins = {}, {}
+    for c in range(60):
+        g = c % 3
+        rows[c] = shape[g] * 50 + rng.random(8) * (8 if c < 45 else 1 + c % 5)
+        if c < 45:
+            bins[c] = g
+    depth = spark.createDataFrame([(c, s, float(v), 1.0) for c, r in rows.items() for s, v in enumerate(r)], "contig_id long, sample_id int, mean double, var double")
+    z = {c: (q := r.argsort().argsort() - 3.5) / np.linalg.norm(q) for c, r in rows.items()}
+    want = {}
+    for c in range(45, 60):
+        fits = []
+        for g in range(3):
+            m = [x for x in bins if bins[x] == g]
+            own = np.mean([z[a] @ z[b] for a in m for b in m if a < b])
+            if np.mean([z[c] @ z[x] for x in m[:10]]) >= own - 1e-9 and np.mean([z[c] @ z[x] for x in m]) >= own - 1e-9:
+                fits.append(g)
+        if len(fits) == 1:
+            want[c] = fits[0]
+    contigs = spark.createDataFrame([(c, 1000) for c in rows], "contig_id long, size long")
+    members = spark.createDataFrame(list(bins.items()), "contig_id long, label long")
+    got = clustering.recruit(contigs.where("contig_id >= 45"), members, contigs, depth, 0.9)
+    assert {r.contig_id: r.label for r in got.collect()} == want != {}
+    assert clustering.recruit(contigs.where("contig_id >= 45"), members, contigs, depth, 0.01).count() == 0
