@@ -20,6 +20,22 @@ def test_model_vectors(spark):
         assert abs(got.p - logit) < 2e-4 and abs(got.s - s) < 2e-4
 
 
+def test_older_engine_has_the_same_distance(spark):
+    """Its distance is 1 / (1 + exp(p)) of the first stage above logit 0.9, else of the second, but 0.1 at least: 1 less the similarity."""
+    rng = random.Random(4)
+    rows = [(rng.randint(1500, 900_000), rng.randint(1500, 900_000), rng.uniform(0, 0.6)) for _ in range(300)]
+    p = composition.pre_prob(F.col("d"), composition.log_size(F.col("a")), composition.log_size(F.col("b")))
+    df = spark.createDataFrame(rows, "a long, b long, d double").select((1 - composition.logistic(p)).alias("got"))
+    for r, (a, b, d) in zip(df.collect(), rows, strict=True):
+        lo, hi = sorted(math.log10(min(x, 500_000)) for x in (a, b))
+        one, two = (-(composition.polynomial(tb, x, lo, hi) + d * composition.polynomial(tc, y, lo, hi)) for tb, x, tc, y in composition.STAGES)
+        if one > math.log(9):
+            want = 1 / (1 + math.exp(one))
+        else:
+            want = 1 / (1 + math.exp(two)) if two <= math.log(9) else 0.1
+        assert abs(r.got - want) < 1e-9
+
+
 def test_normal_cdf_and_overlap(spark):
     xs = [-8.0, -5.5, -1.0, -0.1, 0.0, 0.3, 2.0, 6.5, 9.0]
     for got, x in zip(spark.createDataFrame([(x,) for x in xs], "x double").select(statistics.normal_cdf(F.col("x")).alias("p")).collect(), xs, strict=True):
