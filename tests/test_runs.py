@@ -41,6 +41,7 @@ def test_a_run_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
     binning.run(spark, f"{tmp_path}/c", binning.bin_contigs, contigs, config=config, inputs=("y",), keep=True)
     kept = Run(spark, config.key("bin_contigs", "y"))
     assert kept.exists(f"{kept.folder}/step-bins/_SUCCESS") and not kept.exists(f"{kept.folder}/tables")
+    assert spark.read.parquet(f"{kept.folder}/cluster-log").columns == ["turn", "contig_id", "label"]
     kept.remove(kept.folder)
 
 
