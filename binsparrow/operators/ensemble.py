@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -152,15 +152,18 @@ def dissolve(membership: DataFrame, contigs: DataFrame, turn: int, min_cls_size:
     return clustering.large_bins(membership, contigs, min(seed_size * 2**turn, min_cls_size))
 
 
-def escalate(edges: DataFrame, membership: DataFrame, contigs: DataFrame, min_prob: float, min_binned: float, min_cls_size: int) -> DataFrame:
-    """Votes, then bins below a floor that doubles each turn are dissolved, until no bin is."""
-    turn = 1
+def escalate(edges: DataFrame, membership: DataFrame, contigs: DataFrame, min_prob: float, min_binned: float, min_cls_size: int, run: Column | None = None) -> DataFrame:
+    """Votes, then bins below a floor that doubles each turn are dissolved, until no bin is. run: of a label, if several runs share the table; each ends by itself."""
+    run = F.lit(0) if run is None else run
+    done, turn = membership.select("contig_id", "label").where("false"), 1
     while True:
         voted = vote_until_still(edges, membership, contigs, min_prob, min_binned)
-        membership = dissolve(voted, contigs, turn, min_cls_size).transform(written)
-        if not voted.select("label").distinct().join(membership.select("label").distinct(), "label", "left_anti").limit(1).count():
-            return membership
-        turn += 1
+        kept = dissolve(voted, contigs, turn, min_cls_size).withColumn("r", run).transform(written)
+        lost = voted.select("label").distinct().join(kept.select("label").distinct(), "label", "left_anti").select(run.alias("r")).distinct().transform(written)
+        done = done.unionByName(kept.join(lost, "r", "left_anti").select("contig_id", "label"))
+        if not lost.limit(1).count():
+            return done
+        membership, turn = kept.join(lost, "r", "left_semi").select("contig_id", "label"), turn + 1
 
 
 def greedy_merge(membership: DataFrame, min_shared: float = 0.5) -> DataFrame:

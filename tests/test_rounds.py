@@ -6,8 +6,10 @@ import pytest
 import xxhash
 from pyspark.errors import PySparkException
 
+from binsparrow.config import BinningConfig
 from binsparrow.functions import composition
 from binsparrow.operators import clustering, depths, ensemble
+from binsparrow.plans import binning
 from binsparrow.sources import readers
 
 
@@ -168,3 +170,21 @@ def test_recruits_by_brute_force(spark):
     got = clustering.recruit(contigs.where("contig_id >= 45"), members, contigs, depth, 0.9)
     assert {r.contig_id: r.label for r in got.collect()} == want != {}
     assert clustering.recruit(contigs.where("contig_id >= 45"), members, contigs, depth, 0.01).count() == 0
+
+
+def test_steps_inside_runs(spark):
+    """All runs at once give what each gives alone."""
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(a, b, rng.choice([0.78, 0.82, 0.9, 0.97])) for a, b in sorted({tuple(sorted(rng.sample(range(50), 2))) for _ in range(110)})], "src long, dst long, w double")
+    rows = spark.createDataFrame([(c, rng.choice([3000, 9000, 40_000]), "large") for c in range(50)], "contig_id long, size long, size_class string")
+    pairs = spark.createDataFrame([(a, b, 9.0) for x, y in sorted({tuple(sorted(rng.sample(range(50), 2))) for _ in range(12)}) for a, b in ((x, y), (y, x))], "idx long, mate long, coverage double")
+    boot = [(c, b, c % 5 + 10 * b) for b in (1, 2) for c in rng.sample(range(50), 25)]
+    config = BinningConfig(bootstraps=2, min_cls_size=60_000)
+    got = {(r.contig_id, r.b, r.label) for r in binning.finished_runs(edges, spark.createDataFrame(boot, "contig_id long, b int, label long"), rows, pairs, config).collect()}
+    want = set()
+    for b in (1, 2):
+        bins = spark.createDataFrame([(c, x) for c, k, x in boot if k == b], "contig_id long, label long")
+        bins = ensemble.join_adjacent(edges, ensemble.escalate(edges, bins, rows, 0.8, 0.4, 60_000), 0.95)
+        bins = ensemble.greedy_merge(ensemble.follow_pairs(bins, ensemble.reciprocal(ensemble.mates(pairs))), 0.5)
+        want |= {(r.contig_id, b, r.label) for r in bins.collect()}
+    assert got == want and len(got) > 30
