@@ -125,3 +125,12 @@ def test_config():
     assert preset("superspecific").p1 == 95
     with pytest.raises(ValueError):
         BinningConfig(min_contig=1000)
+
+
+def test_correlation_without_variance(spark):
+    """Equal depths in all samples: no correlation, and no division by zero."""
+    rows = {1: (5, 5, 5), 2: (1, 2, 4), 3: (2, 4, 8), 4: (8, 4, 2)}
+    depth = spark.createDataFrame([(c, s, float(m), 1.0) for c, row in rows.items() for s, m in enumerate(row)], "contig_id long, sample_id int, mean double, var double")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    got = {(r.src, r.dst): r.cor for r in depths.correlation(edges, depth, 3).collect()}
+    assert got[1, 2] is None and got[2, 3] == pytest.approx(1) and -1 < got[3, 4] < 0
