@@ -134,3 +134,15 @@ def test_correlation_without_variance(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     got = {(r.src, r.dst): r.cor for r in depths.correlation(edges, depth, 3).collect()}
     assert got[1, 2] is None and got[2, 3] == pytest.approx(1) and -1 < got[3, 4] < 0
+
+
+def test_percentiles_hold_no_key(spark):
+    """As percentile() has them, by counts of distinct values in ranges: no aggregation holds a key's values."""
+    rows = [(k, float((i * i * 7919) % 1009) if i % 11 else None) for k, n in (("a", 400), ("b", 1 + 1), (None, 57)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    found = statistics.percentiles(df, "k", "v", shares)
+    got = {(r.k, r["at"]): r.q for r in found.collect()}
+    want = {(r.k, p): r.q[i] for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in shares])).alias("q")).collect() for i, p in enumerate(shares)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "percentile" not in found._jdf.queryExecution().toString()
