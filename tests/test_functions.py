@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from binsparrow.config import BinningConfig, preset
 from binsparrow.functions import composition, statistics
-from binsparrow.operators import depths
+from binsparrow.operators import depths, scoring
 from binsparrow.sources import readers, sinks
 
 # sizes, distance, logit, similarity, worked out by hand from the model's coefficients
@@ -146,3 +146,12 @@ def test_percentiles_hold_no_key(spark):
     want = {(r.k, p): r.q[i] for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in shares])).alias("q")).collect() for i, p in enumerate(shares)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_rescoring_without_variance(spark):
+    """An edge whose end has equal depths in all samples keeps its place, as the least correlated."""
+    rows = {1: (5, 5, 5), 2: (12, 20, 40), 3: (14, 26, 50), 4: (40, 30, 6)}
+    depth = spark.createDataFrame([(c, s, float(m), 4.0) for c, row in rows.items() for s, m in enumerate(row)], "contig_id long, sample_id int, mean double, var double")
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.7)], "src long, dst long, s_tnf double")
+    got = {(r.src, r.dst): r.s for r in scoring.rescored(edges, depth, 3).collect()}
+    assert set(got) == {(1, 2), (2, 3), (3, 4)} and all(0 <= s <= 1 for s in got.values())
