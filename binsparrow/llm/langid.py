@@ -6,7 +6,9 @@ over the counts table. The model is one run of hashes for each order's N-grams a
 log-probabilities (N-grams) or back-off weights (contexts) for each language. Tasks write it to the shared folder in ranges of
 hashes, and workers map the files into memory: neither the driver nor a worker holds the model.
 A text gets the language of lowest cross-entropy per character; it is rejected if that cross-entropy lies beyond the tail of
-what rows of a known language show that had no part in the counts.
+what rows of a known language show to a model that they had no part in. `fit_whole` counts all rows, and measures all: they are dealt
+into two halves, and every row is measured by a model of the other half. The three models are built as one, with three columns a
+language. `fit` holds a tenth of the rows out of its one model, for the limit.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from .common import map_file, materialize, mix, only_cache, put_file, shared_pat
 ORDER = 5
 #: Probability of a character below order 1.
 FLOOR = 1.0 / 4096
-#: One in so many training rows, by hash of doc_id, is left out of the counts; of each language about CALIBRATION_ROWS of
-#: them at most, dealt by another hash, set the rejection limit.
-CALIBRATION_PART, CALIBRATION_ROWS = 10, 2_000
+#: `fit` leaves one in so many training rows, by hash of doc_id, out of the counts; these set the rejection limit.
+CALIBRATION_PART = 10
+#: Parts into which `fit_whole` deals the training rows by hash of doc_id.
+HALVES = 2
+#: Of the percentiles of all measured rows: exact up to so many rows, and off by a row in so many beyond.
+ACCURACY = 100_000
 #: Share of a language's own texts that may be rejected, and the share of calibration rows that the tail is fitted to.
 REJECT_RATE, TAIL = 1e-6, 0.05
 #: What is held of the spread before any row is seen (variance between rows, variance of one character, mean excess of the
@@ -293,8 +298,8 @@ def _store(path: str):
     return run
 
 
-def build(counts: DataFrame, langs: list[str]) -> Model:
-    """counts: lang, gram (ORDER codes of four bytes), n; each pair of lang and gram once."""
+def build(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """Rows (part, key, value) of a model, value holding a float for each of langs. counts: lang, gram (ORDER codes of four bytes), n; each pair of lang and gram once."""
     place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     levels = {ORDER: counts.select(place.cast("int").alias("j"), "gram", "n")}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct predecessors
@@ -319,7 +324,7 @@ def build(counts: DataFrame, langs: list[str]) -> Model:
         found = found.select("gram", "gram_of", "context_of", *([] if below is None else ["lower"]))
         below = materialize(found.mapInArrow(_interpolate(order, discounts[order]), "gram binary, key long, value binary"), "langid-grams")
         rows = rows.unionByName(below.select(F.lit(order - 1).alias("part"), "key", "value"))
-    return _files(materialize(rows, "langid-rows"), langs)
+    return materialize(rows, "langid-rows")
 
 
 def _files(rows: DataFrame, langs: list[str]) -> Model:
@@ -367,55 +372,85 @@ def _predict(model: Model):
     return run
 
 
-def fit(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """A model of all rows (doc_id, text, lang) with a text and a lang; None if there are none."""
-    rows = train.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_PART)) == 0
-    counts = rows.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _labelled(train: DataFrame) -> DataFrame:
+    return train.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, set[str]]:
+    """Counts (lang, gram, n) of rows (lang, text), and their langs."""
+    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "langid-counts")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    return counts, {r.lang for r in counts.select("lang").distinct().collect()}
+
+
+def fit(train: DataFrame) -> Model | None:
+    """A model of nine tenths of the rows (doc_id, text, lang) with a text and a lang, its limit set by the last tenth; None if there are none."""
+    rows = _labelled(train)
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_PART)) == 0
+    counts, langs = _counted(rows.where(~aside))
     if not langs:
         return None
-    model = build(counts, langs)
-    _calibrate(model, rows.where(aside), calibration_rows)
+    model = _files(build(counts, sorted(langs)), sorted(langs))
+    _calibrate(model, model, rows.where(aside), {x: x for x in langs})
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, limit: int) -> None:
-    """Set the means of the languages and the spread around them from rows that the counts don't hold.
+def fit_whole(train: DataFrame) -> Model | None:
+    """A model of all rows (doc_id, text, lang) with a text and a lang, its limit set by all of them; None if there are none."""
+    rows = _labelled(train)
+    rows = rows.select("text", F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(HALVES)).cast("string"), "lang").alias("lang"))  # the half is its first character
+    halves, known = _counted(rows)
+    langs = sorted({x[1:] for x in known})
+    if not langs:
+        return None
+    whole = halves.groupBy(F.concat(F.lit("*"), F.substring("lang", 2, 1 << 30)).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    columns = [h + x for h in ("*", *map(str, range(HALVES))) for x in langs]
+    built = build(whole.unionByName(halves), columns)
+    of = lambda lo, names: _files(built.select("part", "key", F.substring("value", 4 * lo + 1, 4 * len(names)).alias("value")), names)
+    model = of(0, langs)
+    other = {f"{h}{x}": f"{1 - h}{x}" for h in range(HALVES) for x in langs}
+    _calibrate(model, of(len(langs), columns[len(langs) :]), rows, {x: y for x, y in other.items() if {x, y} <= known})
+    return model
+
 
-    A text's squared distance from its language's mean is fitted by a constant and a share of 1 / length. In units of that spread,
+def _calibrate(model: Model, measure: Model, rows: DataFrame, columns: dict[str, str]) -> None:
+    """Set the means of the languages and the spread around them from all rows (lang, text) that `measure` has a column for that does not count them.
+
+    columns: of each lang of the rows; `measure` has the model's langs once, or once a half. A text's squared distance from its language's mean is fitted by a constant and a share of 1 / length. In units of that spread,
     the largest TAIL of all distances is taken as an exponential tail; the limit leaves REJECT_RATE of a language's own texts.
     """
-    known = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang in model.langs:
-        share = F.when(F.col("lang") == lang, min(1.0, limit / max(1, known.get(lang, 0)))).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("calibration")), 11).cast("double") / float(1 << 53)
+    column = {x: measure.langs.index(y) for x, y in columns.items()}
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ce = cross_entropies(model, b.column("text").to_pylist())
-            j = [model.langs.index(x) for x in b.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"j": pa.array(j, pa.int32()), "n": pa.array(n.astype(np.int64)), "ce": pa.array(ce[np.arange(len(j)), j])})
-
-    found = rows.where(draw < share).select("lang", "text").mapInArrow(own, "j int, n long, ce double").where("n > 0").collect()
-    if not found:
+            n, ce = cross_entropies(measure, b.column("text").to_pylist())
+            k = np.array([column[x] for x in b.column("lang").to_pylist()], int)
+            yield pa.RecordBatch.from_pydict({"j": pa.array((k % len(model.langs)).astype(np.int32)), "n": pa.array(n.astype(np.int64)), "ce": pa.array(ce[np.arange(len(k)), k])})
+
+    found = materialize(rows.where(F.col("lang").isin(list(column))).select("lang", "text").mapInArrow(own, "j int, n long, ce double").where("n > 0"), "langid-measured")
+    median = lambda c: F.percentile_approx(c, 0.5, ACCURACY)
+    of = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("j")]
+    every = found.agg(F.count("*").alias("rows"), median("n").alias("n"), median("ce").alias("ce")).first()
+    if not every.rows:
         return
-    j, n, ce = (np.array(x) for x in zip(*found, strict=True))
-    means = np.full(len(model.langs), np.median(ce))
-    for k in set(j.tolist()):
-        mine = j == k
-        means[k] = np.median(ce[mine & (n >= np.median(n[mine]))])
-    away = ce - means[j]
-    weight = 1 / (1 / n + 1 / np.median(n))  # short texts scatter more
-    (between, single), *_ = np.linalg.lstsq(np.stack([weight, weight / n], 1), weight * away**2, rcond=None)
+    sizes = dict(found.groupBy("j").agg(median("n")).collect())
+    long = found.where(F.col("n") >= of([sizes.get(j, 0) for j in range(len(model.langs))]))
+    means = np.full(len(model.langs), every.ce)
+    for j, ce in long.groupBy("j").agg(median("ce")).collect():
+        means[j] = ce
+    away, n = F.col("ce") - of(means), F.col("n")
+    weight = 1 / (1 / n + 1 / F.lit(float(every.n)))  # short texts scatter more
+    square = weight * weight
+    s = found.agg(*[F.sum(x) for x in (square, square / n, square / n / n, square * away * away, square * away * away / n)]).first()
+    (between, single), *_ = np.linalg.lstsq(np.array([[s[0], s[1]], [s[1], s[2]]]), np.array([s[3], s[4]]), rcond=None)
     blend = lambda x, k, rows: (rows * max(float(x), 0.0) + PRIOR_ROWS * PRIOR[k]) / (rows + PRIOR_ROWS)
-    between, single = blend(between, 0, len(n)), blend(single, 1, len(n))
-    z = np.sort(away / np.sqrt(between + single / n))
-    tail = z[-max(2, math.ceil(TAIL * len(z))) :]
-    beyond = blend((tail - tail[0]).mean(), 2, len(tail))
-    model.means, model.spread = means, (math.sqrt(between), math.sqrt(single), max(float(tail[0]), 0.0) + beyond * math.log(max(TAIL, len(tail) / len(z)) / REJECT_RATE))
+    between, single = blend(between, 0, every.rows), blend(single, 1, every.rows)
+    z = away / F.sqrt(F.lit(between) + F.lit(single) / n)
+    largest = min(every.rows, max(2, math.ceil(TAIL * every.rows)))
+    first = found.agg(F.percentile_approx(z, (every.rows - largest + 0.5) / every.rows, ACCURACY)).first()[0]
+    tail = found.where(z >= first).agg(F.count("*").alias("rows"), F.avg(z - first).alias("excess")).first()
+    beyond = blend(tail.excess, 2, tail.rows)
+    model.means, model.spread = means, (math.sqrt(between), math.sqrt(single), max(float(first), 0.0) + beyond * math.log(max(TAIL, tail.rows / every.rows) / REJECT_RATE))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -487,3 +487,75 @@ def test_revisits(spark):
     assert {r.record_id: (r.outcome, r.resolved_id) for r in warc.resolve_revisits(lost).collect()} == {1: ("full", 1), 2: ("full", 2), 3: ("revisit", 2)}
     many = spark.range(40_000).selectExpr("id AS record_id", "'http://hot.com/' AS url", "id AS at", "IF(id % 9 = 0, 200, 304) AS status", "CAST(NULL AS string) AS etag", "CAST(NULL AS string) AS last_modified", "'d' AS digest", "CAST(NULL AS map<string,string>) AS headers")
     assert warc.resolve_revisits(many).where("resolved_id <> record_id - record_id % 9").count() == 0
+
+
+def brute_models(texts, floor=1 / 4096):
+    """Kneser-Ney cross-entropy of a text under 5-gram counts of `texts`, by brute force."""
+    level, seen = Counter(w[i : i + 5] for x in texts for w in ["\0" * 4 + x] for i in range(len(x))), {}
+    for order in range(5, 0, -1):
+        once, twice = (sum(n == m for n in level.values()) for m in (1, 2))
+        total, kinds = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        seen[order] = level, total, kinds, min(0.95, once / (once + 2 * twice)) if once else 0.5
+        level = Counter(g[1:] for g in level)
+
+    def entropy(text):
+        logs = 0.0
+        for i in range(len(text)):
+            gram, p = ("\0" * 4 + text)[i : i + 5], floor
+            for order in range(1, 6):
+                level, total, kinds, d = seen[order]
+                g = gram[5 - order :]
+                if total[g[:-1]]:
+                    p = (max(level[g] - d, 0) + d * kinds[g[:-1]] * p) / total[g[:-1]]
+            logs -= math.log(p)
+        return logs / len(text)
+
+    return entropy
+
+
+def test_every_row_is_counted_and_measured(spark, monkeypatch):
+    """The model holds the counts of all rows, and the limit comes from all rows, each measured by the other half's counts."""
+    rng = random.Random(31)
+    texts = {i: (" ".join("".join(rng.choices("abcde" if i % 3 else "uvwxy", k=rng.randint(2, 6))) for _ in range(rng.randint(4, 40)))) for i in range(90)}
+    langs = {i: "aa" if i % 3 else "bb" for i in texts}
+    docs = documents(spark, list(texts.items()), langs)
+    kept, materialize = {}, langid.materialize
+    monkeypatch.setattr(langid, "materialize", lambda df, name: kept.update({name: materialize(df, name)}) or kept[name])
+    model = langid.fit_whole(docs)
+    monkeypatch.undo()
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    whole = {x: brute_models([t for i, t in texts.items() if langs[i] == x]) for x in ("aa", "bb")}
+    assert all(got[i].lang_pred == langs[i] and abs(got[i].cross_entropy - whole[langs[i]](t)) < 1e-4 for i, t in texts.items())
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    others = {(h, x): brute_models([t for i, t in texts.items() if langs[i] == x and half[i] != h]) for h in (0, 1) for x in ("aa", "bb")}
+    want = sorted((len(t), others[half[i], langs[i]](t)) for i, t in texts.items())
+    measured = sorted((r.n, r.ce) for r in kept["langid-measured"].collect())
+    assert [n for n, _ in measured] == [n for n, _ in want] and sum(c for _, c in measured) == pytest.approx(sum(c for _, c in want), abs=1e-3)
+    # the limit as worked out from the rows at once
+    j, n, ce = (np.array(x) for x in zip(*((r.j, r.n, r.ce) for r in kept["langid-measured"].collect()), strict=True))
+    low = lambda x: np.sort(x)[(len(x) - 1) // 2]
+    means = np.array([low(ce[(j == k) & (n >= low(n[j == k]))]) for k in (0, 1)])
+    assert model.means == pytest.approx(means)
+    weight = 1 / (1 / n + 1 / low(n))
+    (between, single), *_ = np.linalg.lstsq(np.stack([weight, weight / n], 1), weight * (ce - means[j]) ** 2, rcond=None)
+    between, single = ((90 * max(x, 0) + 30 * p) / 120 for x, p in zip((between, single), langid.PRIOR, strict=False))
+    z = np.sort((ce - means[j]) / np.sqrt(between + single / n))[-5:]
+    assert model.spread == pytest.approx((between**0.5, single**0.5, max(z[0], 0) + (5 * (z - z[0]).mean() + 15) / 35 * math.log(5 / 90 / 1e-6)), rel=1e-6)
+
+
+def test_rejection_rate_of_the_whole_fit(spark):
+    """As of `fit`: texts of known languages stay at every length, others go; a language of one row, and no rows, are no obstacle."""
+    rng = random.Random(22)
+    words = {x: ["".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(150)] for x, a in (("aa", "aeioklmnprst"), ("bb", "bdfgjoruvwyz"))}
+    make = lambda i, x: (i, " ".join(rng.choices(words[x], k=rng.choice([1, 2, 4, 9, 30, 200]))), x)
+    train = [make(i, ["aa", "bb"][i % 2]) for i in range(2000)] + [(5000, "один текст", "cc")]
+    model = langid.fit_whole(documents(spark, [r[:2] for r in train], {i: x for i, _, x in train}))
+    assert model.langs == ["aa", "bb", "cc"]
+    fresh = [make(i, ["aa", "bb"][i % 2]) for i in range(10_000, 12_000)]
+    odd = [(20_000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), None) for i in range(50)]
+    got = {r.doc_id: r.rejected for r in langid.predict(documents(spark, [r[:2] for r in fresh + odd]), model).collect()}
+    assert sum(got[r[0]] for r in fresh) <= 3 and all(got[r[0]] for r in odd)
+    assert langid.fit_whole(documents(spark, [(1, None)], {1: "aa"})) is None
