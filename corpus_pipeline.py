@@ -12,7 +12,7 @@ from binsparrow.llm.common import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Models are fitted on the documents' own labels; documents without a letter or unlike every language go, the others get a label if they have none."""
-    found = langid.predict(docs, langid.fit(docs)).where("NOT rejected")
+    found = langid.predict(docs, langid.fit_whole(docs)).where("NOT rejected")
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
 
 
