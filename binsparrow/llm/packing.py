@@ -26,6 +26,8 @@ from .tokens import encoder
 
 #: Ways in which the rows of one size and kind are split.
 SALTS = 16
+#: Rows of a round that one task takes: few pieces are few tasks, whatever the session's partitions.
+ROUND_ROWS = 50_000
 #: Pieces up to this many tokens are first strung together, so that rounds stay few.
 TINY = 32
 
@@ -58,12 +60,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     return docs.mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
 
 
-def _bases(rows: DataFrame) -> tuple[DataFrame, int, int, int, dict]:
-    """Where each cell of rows begins in the order by size (descending, gaps first), and totals.
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The same partitions in tasks of about ROUND_ROWS rows, one for each core at least."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROUND_ROWS)))
+
+
+def _bases(rows: DataFrame, most: int) -> tuple[DataFrame, int, int, int, dict]:
+    """Where each cell of rows, `most` at most, begins in the order by size (descending, gaps first), and totals.
 
     Gives cells (size, kind, salt, base_sum, base_rank), pieces left, their volume, the gaps' volume, pieces by size.
     """
-    counts = sorted(((-r["size"], r["kind"], r["salt"], r["n"]) for r in rows.groupBy("size", "kind", "salt").agg(F.count("*").alias("n")).collect()))
+    counts = sorted(((-r["size"], r["kind"], r["salt"], r["n"]) for r in _tasks(rows.groupBy("size", "kind", "salt").agg(F.count("*").alias("n")), most).collect()))
     cells, run, rank, by_size, gap_volume = [], 0, 0, {}, 0
     for minus, kind, salt, n in counts:
         cells.append((-minus, kind, salt, run, rank))
@@ -83,9 +90,9 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     rows = items.select(F.col("item_id").alias("id"), F.col("size").cast("int").alias("size"), F.lit(1).alias("kind"))
     rows = rows.withColumn("salt", salt)
-    path, stuck = shared_path(items.sparkSession, "packing-placed"), False
+    path, stuck, most = shared_path(items.sparkSession, "packing-placed"), False, items.count()  # pieces become gaps or go, so that rows never grow
     while True:
-        cells, left, volume, room, by_size = _bases(rows)
+        cells, left, volume, room, by_size = _bases(rows, most)
         if not left:
             break
         opening = max(sum(n for s, n in by_size.items() if 2 * s > capacity), -(-(volume - room) // capacity) if volume > room else 0, -(-volume // capacity) if stuck else 0)
@@ -93,7 +100,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         in_cell = Window.partitionBy("size", "kind", "salt").orderBy("id")
         ordered = rows.join(F.broadcast(cells), ["size", "kind", "salt"]).withColumn("k", F.row_number().over(in_cell))
         sign = F.when(F.col("kind") == 0, F.col("k")).otherwise(-F.col("k"))
-        ordered = ordered.select(
+        ordered = _tasks(ordered, most).select(
             "id", "size", "kind", "salt",
             (F.col("base_sum") + sign + F.col("kind")).alias("level"),
             F.struct((-F.col("size")).alias("s"), "kind", "salt", "k").alias("at"),
@@ -101,7 +108,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         )
         on_level = Window.partitionBy("level").orderBy("at")
         before, after = F.lag(F.struct("id", "size", "kind")).over(on_level), F.lead(F.struct("id", "size", "kind")).over(on_level)
-        swept = materialize(ordered.select("id", "size", "kind", "salt", "opens", before.alias("gap"), after.alias("taker")), "packing-round")
+        swept = materialize(_tasks(ordered.select("id", "size", "kind", "salt", "opens", before.alias("gap"), after.alias("taker")), most), "packing-round")
         fits = (F.col("kind") == 1) & (F.coalesce(F.col("gap.kind"), F.lit(1)) == 0)
         taken = (F.col("kind") == 0) & (F.coalesce(F.col("taker.kind"), F.lit(0)) == 1)
         opens = F.col("opens") & ~fits
@@ -142,7 +149,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     tiny = max(1, min(TINY, capacity // 4))
     members, _ = _bundled(pieces.where(F.col("length") < capacity), tiny)
     members = materialize(members, "packing-members")
-    items = members.groupBy("item_id").agg(F.sum("length").alias("size"))
+    items = materialize(members.groupBy("item_id").agg(F.sum("length").alias("size")), "packing-items")  # counted, then dealt
     at = members.join(best_fit(items, capacity), "item_id").select("piece_id", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
     full = pieces.where(F.col("length") == capacity).select("piece_id", F.col("piece_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.join(at.unionByName(full), "piece_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
